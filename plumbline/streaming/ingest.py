@@ -44,11 +44,12 @@ def process_batch(text: DataFrame, batch_id: int, out: str) -> None:
         lines.unpersist()
 
 
-def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, archive: str | None = None
+def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, archive: str | None = None,
+                  pattern: str = "report_*.txt"
                   ) -> StreamingQuery:
     """Pick up the files that are new since the last call, then stop. Files are
     remembered by the checkpoint; with ``archive`` they are moved once done."""
-    reader = spark.readStream.option("pathGlobFilter", "report_*.txt")
+    reader = spark.readStream.option("pathGlobFilter", pattern)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     text = reader.text(folder).select("value", "_metadata")
