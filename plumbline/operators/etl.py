@@ -48,7 +48,8 @@ def rank_sends(work: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
     down = [F.desc(c) for c in ("opens", "clicks", "line_no", "file_id")]
     coarse = [-F.col("opens"), -F.col("clicks"), -F.floor(F.col("line_no") / 1_000_000)]
     return rank_best(work, [*batch, "email", "fecha_envio"], down,
-                     F.col("email_ok") & F.col("fecha_envio").isNotNull(), coarse)
+                     F.col("email_ok") & F.col("fecha_envio").isNotNull(), coarse,
+                     spread=["file_id", "line_no"])
 
 
 # --- upsert --------------------------------------------------------------------------

@@ -352,7 +352,7 @@ def ambiguous_cases(stats: DataFrame, incidents: DataFrame, kinds: Sequence[str]
     hits = [F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items() if k in kinds]
     parts = []
     if hits:
-        parts.append(stats.select(*shown, early.alias("_early"), F.explode(F.array_compact(F.array(*hits))).alias("kind"))
+        parts.append(stats.select(*shown, early.alias("_early"), F.explode(F.array(*hits)).alias("kind")).filter("kind IS NOT NULL")
                      .withColumn("minutes", F.when(c("kind") == "fecha_anterior_al_envio", c("_early"))).drop("_early"))
     if "badmail_perdido_en_dedupe" in kinds:
         dropped = incidents.filter((c("codigo_error") == "V-07") & record_has_token("registro_completo", "HARD")).select(

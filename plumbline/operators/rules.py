@@ -35,8 +35,9 @@ def apply_rules(df: DataFrame, rules: Iterable[Rule], carry: Sequence[str]) -> D
             F.lit(r.field).alias("campo"), truncate_text(r.value.cast("string"), EVIDENCE).alias("valor_original")))
         for r in rules
     ]
-    found = df.select(*carry, F.array_compact(F.array(*hits)).alias("_hits")).filter(F.size("_hits") > 0)
-    return found.select(*carry, F.explode("_hits").alias("_h")).select(*carry, "_h.*")
+    # exploding the literal array keeps the conditions in one place of the plan
+    found = df.select(*carry, F.explode(F.array(*hits)).alias("_h"))
+    return found.filter("_h IS NOT NULL").select(*carry, "_h.*")
 
 
 def v_rules() -> list[Rule]:
@@ -241,7 +242,7 @@ def scenario_conditions() -> dict[str, Column]:
 def scenario_labels(work: DataFrame, carry: Sequence[str] = ("file_id", "line_no")) -> DataFrame:
     """One row per record and label that describes it."""
     marks = [F.when(cond, F.lit(name)) for name, cond in scenario_conditions().items()]
-    return work.select(*carry, F.explode(F.array_compact(F.array(*marks))).alias("label"))
+    return work.select(*carry, F.explode(F.array(*marks)).alias("label")).filter("label IS NOT NULL")
 
 
 def scenario_counts(work: DataFrame, by: Sequence[str] = ("file_id",)) -> DataFrame:

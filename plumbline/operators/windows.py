@@ -24,40 +24,37 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 
 
 def rank_best(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], valid: Column | None = None,
-              coarse: Sequence[str | Column] = (), name: str = "rn") -> DataFrame:
+              coarse: Sequence[str | Column] = (), name: str = "rn", spread: Sequence[str] = ()) -> DataFrame:
     """Exact row number within ``keys`` for valid rows; the others get NULL.
 
     ``coarse`` lists columns or expressions that come first in the order (for
     example the leading counters, or a line number divided by a million). A key
     is then ranked in pieces: rows per piece are counted first, the counts give
     each piece its offset, and rows are numbered inside their piece only. No task
-    holds more than one piece, however large the key.
+    holds more than one piece, however large the key. Coarse values sort upwards
+    (negate a counter that ranks downwards) and may not be NULL. ``spread`` names
+    the columns that tell unranked rows apart (all of them by default).
     """
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
-    if not coarse:
-        w = Window.partitionBy("_ok", *keys).orderBy(*_order(order))
-        # rejected rows are spread by hash instead of gathering under one NULL key
-        spread = df.withColumn("_ok", F.when(ok, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*df.columns), F.lit(4096))))
-        return spread.withColumn(name, F.when(F.col("_ok") < 0, F.row_number().over(w))).drop("_ok")
-
     names = [f"_p{i}" for i in range(len(coarse))]
-    kept = df.filter(ok)
-    pieces = kept.withColumns({n: (F.col(c) if isinstance(c, str) else c) for n, c in zip(names, coarse)})
-    # descending coarse columns must already be negated by the caller
-    upto = Window.partitionBy(*keys).orderBy(*names)
+    # rows that are not ranked are spread by hash instead of gathering under a NULL key
+    marked = df.withColumns({
+        "_ok": F.when(ok, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(65536))).cast("int"),
+        **{n: (F.col(c) if isinstance(c, str) else c) for n, c in zip(names, coarse)}})
+    piece = ["_ok", *keys, *names]
+    inside = marked.withColumn("_in", F.row_number().over(Window.partitionBy(*piece).orderBy(*_order(order))))
+    if not coarse:
+        return inside.withColumn(name, F.when(F.col("_ok") < 0, F.col("_in"))).select(*df.columns, name)
+    upto = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        pieces.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*keys, *names, F.coalesce("_before", F.lit(0)).alias("_before"))
+        df.filter(ok).select(*keys, F.lit(-1).alias("_ok"), *[(F.col(c) if isinstance(c, str) else c).alias(n)
+                                                              for n, c in zip(names, coarse)])
+        .groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
+        .select(*piece, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
     )
-    inside = pieces.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*_order(order))))
-    piece_key = [*keys, *names]
-    ranked = inside.alias("a").join(
-        offsets.alias("b"),
-        [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in piece_key], "inner",
-    ).select("a.*", (F.col("_in") + F.col("_before")).cast("int").alias(name)).drop("_in", *names)
-    rest = df.filter(~ok).withColumn(name, F.lit(None).cast("int"))
-    return ranked.unionByName(rest)
+    # same keys as the window, so the rows are not shuffled again for the join
+    return inside.join(offsets, piece, "left").select(
+        *df.columns, F.when(F.col("_ok") < 0, F.col("_in") + F.col("_before")).cast("int").alias(name))
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:

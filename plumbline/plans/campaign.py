@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fx
 from ..functions import fixed
 from ..operators import etl, profile, quality as q, rules
+from ..session import scratch
 from .oracle import CTES, r, sql
 from .registry import query
 
@@ -298,8 +299,7 @@ CTES["one_batch"] = (("work",), "SELECT *, CASE WHEN email_ok AND fecha_envio IS
 def streamed_ingest(x):
     """Write the campaign files, ingest them as a stream, read the targets."""
     from ..streaming import ingest
-    from .star import _scratch
-    root = _scratch(x, "stream")
+    root = scratch(x.spark, "stream")
     headed = x.raw.select("file_id", *[F.regexp_replace(c, "\r", "").alias(h) for c, h in fixed.LAYOUT])
     headed.repartition("file_id").write.partitionBy("file_id").option("header", True).option("emptyValue", "").csv(f"{root}/in")
     ingest.ingest_stream(x.spark, f"{root}/in/*", f"{root}/out", f"{root}/ckpt", pattern="*.csv").awaitTermination()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import exact_round, fixed
 from ..operators import etl, model, monitor, rules
+from ..session import write_once
 
 
 def pick(col: Column, options: dict, default=None) -> Column:
@@ -183,11 +184,13 @@ class World:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return etl.rank_sends(self.work, ["id_ejecucion"])
+        """The work table of the load: written once, read by all later steps."""
+        return write_once(etl.rank_sends(self.work, ["id_ejecucion"]), "work")
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return rules.incidents(self.ranked, self.LINEAGE)
+        """The audit table of the load."""
+        return write_once(rules.incidents(self.ranked, self.LINEAGE), "incidents")
 
     @cached_property
     def loaded(self) -> DataFrame:
@@ -214,7 +217,7 @@ class World:
         fid = F.col("file_id")
         status = (F.when(fid % 13 == 0, fixed.FILE_REJECTED).when(fid % 17 == 0, "CARGADO")
                   .when(fid % 19 == 0, "RESPALDADO").otherwise(fixed.FILE_DONE))
-        return self.work.groupBy("id_ejecucion", "file_id").agg(
+        return self.ranked.groupBy("id_ejecucion", "file_id").agg(
             F.count(F.lit(1)).alias("registros_leidos"), F.sum(F.length("registro_completo")).alias("bytes")
         ).select("id_ejecucion", "file_id", name.alias("nombre_archivo"), F.sha2(name, 256).alias("hash_archivo"), "bytes",
                  "registros_leidos", status.alias("estatus"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import kpi, model, profile, quality as q, windows as w
+from ..session import scratch
 from ..sources import tables
 from .oracle import r, sql
 from .registry import query
@@ -24,25 +25,17 @@ def workspace_load(x):
     return ws["customer"].agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("nations"))
 
 
-def _scratch(x, name: str) -> str:
-    """A fresh folder for written results, in the shared checkpoint folder."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(x.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _STATS = "count(*) AS row_count, min(date) AS earliest_date, max(date) AS latest_date, " + r("sum(revenue_usd)", 2) + " AS total_amount"
 
 
 @query(sql(f"SELECT {_STATS}, 'source' AS side FROM clean UNION ALL SELECT {_STATS}, 'copy' AS side FROM clean", "clean"))
 def table_copy_with_validation(x):
-    return tables.copy_table(x.clean.select("transactionid", "date", "revenue_usd"), _scratch(x, "copy"), "date", "revenue_usd")
+    return tables.copy_table(x.clean.select("transactionid", "date", "revenue_usd"), scratch(x.spark, "copy"), "date", "revenue_usd")
 
 
 @query(sql("SELECT CAST(load_date AS DATE) AS load_date, count(*) AS n FROM fact, (VALUES ('2024-01-01'), ('2024-01-02')) t(load_date) GROUP BY ALL", "fact"))
 def bronze_append_by_load_date(x):
-    path = _scratch(x, "bronze")
+    path = scratch(x.spark, "bronze")
     rows = x.fact.select("transactionid", "date", "revenue_usd")
     for day in ("2024-01-01", "2024-01-02"):
         tables.write_bronze(rows, path, day, ["date"])
@@ -51,7 +44,7 @@ def bronze_append_by_load_date(x):
 
 @query(sql("SELECT count(*) AS n FROM route WHERE hora_entrega IS NULL AND ejecucion_entrega IS DISTINCT FROM 'CANCELLED'", "route"))
 def csv_sink_of_anomalies(x):
-    path = _scratch(x, "anomalies")
+    path = scratch(x.spark, "anomalies")
     tables.write_csv(q.isolate(x.route, "hora_entrega", "ejecucion_entrega", "CANCELLED"), path)
     return tables.load_table(x.spark, path + "/*.csv", schema=x.route.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
                              ).agg(F.count(F.lit(1)).alias("n"))

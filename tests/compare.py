@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import signal
 import sys
 import time
 from decimal import Decimal
@@ -15,6 +16,13 @@ import duckdb
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
+LIMIT = 40
+
+
+def _too_long(*_):
+    raise TimeoutError(f"over {LIMIT}s")
+
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -62,8 +70,10 @@ def main(argv):
     spark, con = local_session("compare"), connect(sf_dir)
     spark.sparkContext.setLogLevel("ERROR")
     failed = 0
+    signal.signal(signal.SIGALRM, _too_long)
     for name in names:
         fn, check, t = e.queries()[name], e.oracle_sql().get(name), time.time()
+        signal.alarm(LIMIT)
         try:
             if check:
                 message, size = compare(spark, con, fn, check, sf_dir), ""
@@ -71,6 +81,7 @@ def main(argv):
                 size, message = f" {len(fn(spark, sf_dir).collect())} rows (no SQL)", None
         except Exception as err:  # noqa: BLE001
             message, size = f"{type(err).__name__}: {str(err)[:700]}", ""
+        signal.alarm(0)
         failed += bool(message)
         print(f"{'FAIL' if message else 'ok  '} {name} {time.time() - t:.1f}s{size}" + (f"\n   {message}" if message else ""), flush=True)
     print(f"{len(names) - failed} ok, {failed} failed")
