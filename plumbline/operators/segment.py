@@ -4,7 +4,6 @@ fit, profile and compare. "No structure" is one of the possible answers."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import exact_round, fixed, safe_ratio
+from ..session import cut_lineage
 
 AGGREGATES = {
     # an all-null sum is 0; a null in the data is skipped by every function
@@ -133,7 +133,7 @@ def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def silhouette_points(df: DataFrame, features: Sequence[str], label: str, key: str, run: str | None = None,
-                      block: int = 1500) -> DataFrame:
+                      block: int = 1500, largest: int | None = None) -> DataFrame:
     """Exact Euclidean silhouette of every row, for one labelling or for several
     runs at once.
 
@@ -145,12 +145,14 @@ def silhouette_points(df: DataFrame, features: Sequence[str], label: str, key: s
     x = F.array(*[F.col(f).cast("double") for f in features])
     points = df.select((F.col(run) if run else F.lit("")).cast("string").alias("run"),
                        F.col(key).cast("string").alias("pid"), F.col(label).cast("long").alias("label"), x.alias("x"))
-    largest = points.groupBy("run").count().agg(F.max("count")).first()[0] or 0
+    if largest is None:  # rows of the largest run
+        largest = points.groupBy("run").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-largest // block))
     dealt = points.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.withColumn("i", F.col("own")).withColumn("j", every)
     right = dealt.withColumn("j", F.col("own")).withColumn("i", every)
+    right = right.select([F.col(c).alias(c) for c in right.columns])  # own column ids for the second use
     keys = ["run", "i", "j"]
     sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         lambda a, b: _block_sums(a, b), "run string, pid string, label long, other long, total double")
@@ -202,53 +204,126 @@ def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int) ->
 
 
 # --- sweep and fit -----------------------------------------------------------------------------
-def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
-
-
-def _best_fit(frame: DataFrame, k: int, seed: int, starts: int, max_iter: int):
-    """Lowest cost of several starts."""
-    models = [KMeans(k=k, seed=seed + 101 * s, maxIter=max_iter, predictionCol="cluster").fit(frame) for s in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :], 0)
+
+
+def _seed_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over a small sample of the points."""
+    centres = sample[[rng.integers(len(sample))]]
+    while len(centres) < k:
+        d = _distances(sample, centres).min(1)
+        p = d / d.sum() if d.sum() > 0 else None
+        centres = np.vstack([centres, sample[rng.choice(len(sample), p=p)]])
+    return centres
+
+
+def _lloyd(points: DataFrame, centres: dict[tuple, np.ndarray], max_iter: int, tol: float = 1e-4):
+    """Lloyd iterations of many runs in one pass over the data per iteration.
+
+    ``points`` has source and vector; a run is (source, k, start). What travels is
+    one row per task, run and cluster: the count, the cost and the coordinate sums."""
+    dims = next(iter(centres.values())).shape[1]
+    coords = [f"s{j}" for j in range(dims)]
+    schema = "source string, k long, start long, cluster long, n double, cost double, " + ", ".join(f"{c} double" for c in coords)
+
+    def one_pass(active: dict[tuple, np.ndarray]):
+        def partial(batches):
+            sums: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                for source, group in pdf.groupby("source"):
+                    x = np.stack(group["x"].to_numpy())
+                    for run, c in active.items():
+                        if run[0] != source:
+                            continue
+                        d = _distances(x, c)
+                        label = d.argmin(1)
+                        member = np.eye(len(c))[label]
+                        row = np.column_stack([member.sum(0), member.T @ d.min(1), member.T @ x])
+                        sums[run] = sums.get(run, 0) + row
+            if sums:
+                names = pd.DataFrame([(*run, c) for run, m in sums.items() for c in range(len(m))],
+                                     columns=["source", "k", "start", "cluster"])
+                yield names.join(pd.DataFrame(np.vstack(list(sums.values())), columns=["n", "cost", *coords]))
+
+        totals = points.mapInPandas(partial, schema).groupBy("source", "k", "start", "cluster").agg(
+            *[F.sum(c).alias(c) for c in ("n", "cost", *coords)])
+        found: dict[tuple, dict] = {}
+        for t in totals.collect():  # runs x k rows, whatever the data
+            found.setdefault((t["source"], t["k"], t["start"]), {})[t["cluster"]] = t
+        return found
+
+    centres, active = dict(centres), dict(centres)
+    cost: dict[tuple, float] = {}
+    smallest: dict[tuple, float] = {}
+    for i in range(max_iter + 1):
+        for run, rows in one_pass(active).items():
+            cost[run] = sum(t["cost"] for t in rows.values())
+            smallest[run] = min(t["n"] for t in rows.values())
+            moved = centres[run].copy()
+            for c, t in rows.items():
+                if t["n"] > 0:
+                    moved[c] = [t[s] / t["n"] for s in coords]
+            if i == max_iter or np.abs(moved - centres[run]).max() < tol:
+                active.pop(run)
+            else:
+                centres[run] = active[run] = moved
+        if not active:
+            break
+    return centres, cost, smallest
 
 
 def sweep_k(df: DataFrame, features: Sequence[str], key: str, k_min: int = 2, k_max: int = 8, n_null: int = 5,
-            seed: int = 42, starts: int = 3, max_iter: int = 20, parallelism: int = 8) -> DataFrame:
+            seed: int = 42, starts: int = 10, max_iter: int = 30) -> DataFrame:
     """Inertia, silhouette, null silhouette, gap and smallest cluster per k.
 
-    ``features`` are the scaled columns. Real data and null models are cached
-    once; fits run side by side as separate Spark jobs; one more job scores all
-    labellings together."""
+    ``features`` are the scaled columns. Real data and null models form one cached
+    frame; all k, nulls and starts are fitted together, one pass per iteration,
+    and one more job scores the best labelling of each. Starts are seeded by
+    k-means++ on a few hundred points chosen by hash; every fit sees all points."""
     spark = df.sparkSession
-    real = df.select(key, *features).persist()
+    real = cut_lineage(df.select(key, *features))
     n = check_entities(real)
     ks = range(k_min, min(k_max, n - 1) + 1)
-    frames = {"real": _vectors(real, features).persist()}
+    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    sources = [real.select(F.lit("real").alias("source"), F.col(key).cast("string").alias("pid"), x)]
     for p in range(n_null):
-        frames[f"null{p}"] = _vectors(permute_columns(real, features, key, seed + p), features).persist()
-    jobs = [(name, k) for name in frames for k in ks]
-
-    def fit(job):
-        name, k = job
-        return job, _best_fit(frames[name], k, seed, starts, max_iter)
-
-    with ThreadPool(parallelism) as pool:
-        for f in frames.values():
-            f.count()
-        fitted = dict(pool.map(fit, jobs))
-
-    labelled = None
-    for (name, k), model in fitted.items():
-        part = model.transform(frames[name]).select(F.lit(f"{name}|{k}").alias("run"), key, *features, "cluster")
-        labelled = part if labelled is None else labelled.unionByName(part)
-    scores = silhouette(labelled, features, "cluster", key, "run")
+        mixed = permute_columns(real, features, key, seed + p)
+        sources.append(mixed.select(F.lit(f"null{p}").alias("source"), F.col(key).cast("string").alias("pid"), x))
+    points = sources[0]
+    for more in sources[1:]:
+        points = points.unionByName(more)
+    # written out, so that the plan of every iteration is a plain scan, and kept in memory
+    points = cut_lineage(points.repartition("source", F.pmod(F.xxhash64("pid"), F.lit(max(1, n // 50_000))))).persist()
+
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("pid", F.lit(seed)), "pid"))
+    sample: dict[str, list] = {}
+    for row in points.withColumn("_r", rank).filter("_r <= 500").select("source", "x").collect():
+        sample.setdefault(row["source"], []).append(row["x"])
+    rng = np.random.default_rng(seed)
+    first = {(source, k, s): _seed_centres(np.array(sorted(rows)), k, rng)
+             for source, rows in sorted(sample.items()) for k in ks for s in range(starts)}
+    centres, cost, smallest = _lloyd(points, first, max_iter)
+    best = {(source, k): min(((source, k, s) for s in range(starts)), key=cost.get) for source in sample for k in ks}
+    chosen = {run: centres[run] for run in best.values()}
+
+    def label(batches):
+        for pdf in batches:
+            for source, group in pdf.groupby("source"):
+                vectors = np.stack(group["x"].to_numpy())
+                for run, c in chosen.items():
+                    if run[0] == source:
+                        yield pd.DataFrame({"run": f"{source}|{run[1]}", "pid": group["pid"], "x": group["x"],
+                                            "cluster": _distances(vectors, c).argmin(1)})
+
+    labelled = points.mapInPandas(label, "run string, pid string, x array<double>, cluster long").select(
+        "run", "pid", "cluster", *[F.col("x")[i].alias(f) for i, f in enumerate(features)])
+    scores = silhouette(labelled, features, "cluster", "pid", "run", largest=n)
     parts = F.split("run", r"\|")
-    scores = scores.select(parts[1].cast("int").alias("k"), parts[0].alias("source"), "silhouette")
-    both = scores.groupBy("k").agg(
+    both = scores.select(parts[1].cast("int").alias("k"), parts[0].alias("source"), "silhouette").groupBy("k").agg(
         F.max(F.when(F.col("source") == "real", F.col("silhouette"))).alias("s"),
         F.avg(F.when(F.col("source") != "real", F.col("silhouette"))).alias("s0"))
-    facts = [(k, float(m.summary.trainingCost), 100.0 * min(m.summary.clusterSizes) / n)
-             for (name, k), m in fitted.items() if name == "real"]
+    facts = [(k, float(cost[best["real", k]]), 100.0 * smallest[best["real", k]] / n) for k in ks]
     sizes = spark.createDataFrame(facts, "k int, inertia double, smallest double")
     return both.join(sizes, "k").select(
         "k", exact_round("inertia", 2).alias("inertia"), exact_round("s", 4).alias("silhouette"),
@@ -271,8 +346,10 @@ def fit_segments(df: DataFrame, features: Sequence[str], k: int, seed: int = 42,
                  ) -> DataFrame:
     """Label every row with its cluster. Clusters are numbered by the first
     feature of their centre, so that numbers mean the same on every run."""
-    frame = _vectors(df, features)
-    model = _best_fit(frame.select("features").persist(), k, seed, starts, max_iter)
+    frame = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
+    train = frame.select("features").persist()
+    fits = [KMeans(k=k, seed=seed + 101 * s, maxIter=max_iter, predictionCol="cluster").fit(train) for s in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     order = sorted(range(k), key=lambda c: tuple(model.clusterCenters()[c]))
     rank = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
     return model.transform(frame).withColumn("cluster", rank[F.col("cluster")]).drop("features")

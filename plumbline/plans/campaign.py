@@ -146,7 +146,7 @@ _REP = [("029", "WARNING", "e.n > 1"), ("030", "WARNING", "s.n > 1"), ("031", "W
     f"SELECT 'BR-{c}' AS codigo_error, '{s}' AS severidad, line_no FROM work w LEFT JOIN per_email e USING (email) LEFT JOIN per_send s USING (email, fecha_envio) "
     f"LEFT JOIN per_record r USING (registro_completo) WHERE {cond}" for c, s, cond in _REP) + ") GROUP BY 1, 2", "per_email", "per_send", "per_record"))
 def business_rules_of_repetition(x):
-    found = rules.apply_rules(rules.with_repetition(x.work), rules.br_repetition_rules(), ["file_id", "line_no"])
+    found = rules.apply_rules(rules.with_repetition(x.ranked), rules.br_repetition_rules(), ["file_id", "line_no"])
     return found.groupBy("codigo_error", "severidad").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("lines"))
 
 
@@ -269,7 +269,7 @@ _KEYCOLS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 def _keys_sql(table, cols):
     singles = [f"SELECT '{c}' AS columns, 1 AS n_columns, count(*) AS total, count(DISTINCT CAST({c} AS VARCHAR)) AS d FROM {table}" for c in cols]
-    pairs = [f"SELECT '{a} + {b}', 2, count(*), count(DISTINCT (CAST({a} AS VARCHAR), CAST({b} AS VARCHAR))) FROM {table}" for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [f"SELECT '{a} + {b}' AS columns, 2 AS n_columns, count(*) AS total, count(DISTINCT (CAST({a} AS VARCHAR), CAST({b} AS VARCHAR))) AS d FROM {table}" for i, a in enumerate(cols) for b in cols[i + 1:]]
     return ("WITH s AS (" + " UNION ALL ".join(singles) + "), p AS (" + " UNION ALL ".join(pairs) + ") SELECT columns, n_columns, " + r("CAST(d AS DOUBLE) / total", 4)
             + " AS uniqueness, total - d AS duplicates FROM (SELECT * FROM s WHERE d > 0.5 * total UNION ALL SELECT p.* FROM p JOIN s a ON a.columns = split_part(p.columns, ' + ', 1) "
             "JOIN s b ON b.columns = split_part(p.columns, ' + ', 2) WHERE a.d > 0.1 * a.total AND b.d > 0.1 * b.total AND p.d > 0.9 * p.total) ORDER BY uniqueness DESC, n_columns, columns LIMIT 6")

@@ -115,7 +115,7 @@ def permuted_columns_keep_their_values(x):
 @query()
 def sweep_of_k(x):
     rows = s.standardize(_entities(x).withColumn("entity", F.concat_ws(" | ", "brand", "geokey")), FEATURES)
-    return s.sweep_k(rows, [f"{f}_z" for f in FEATURES], "entity", k_max=5, n_null=2, starts=2)
+    return s.sweep_k(rows, [f"{f}_z" for f in FEATURES], "entity")
 
 
 _BUCKETS = "SELECT CAST(label + 2 AS INT) AS k, " + r("avg(CAST(embedding[1] AS DOUBLE)) + 0.5", 4) + " AS silhouette, " + r("avg(CAST(embedding[2] AS DOUBLE)) + 0.05", 4) + " AS gap_vs_null FROM embeddings GROUP BY 1"

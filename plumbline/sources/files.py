@@ -50,13 +50,15 @@ def new_files(hashed: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 # --- lines ----------------------------------------------------------------------------
-def number_lines(text: DataFrame) -> DataFrame:
-    """Physical line numbers (from 1) for a text read with file metadata.
+def number_lines(text: DataFrame, full_path: bool = False) -> DataFrame:
+    """Physical line numbers (from 1) for a text read with file metadata. Files
+    are called by name, or by ``full_path`` where names repeat across folders.
 
     Each split of a file numbers its own lines; splits are shifted by the lines
     of earlier splits of the same file. Only one small row per split is gathered."""
+    path = F.col("_metadata.file_path")
     rows = text.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
+        (path if full_path else F.element_at(F.split(path, "/"), -1)).alias("file"),
         F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"),
         F.regexp_replace("value", "^﻿", "").alias("line"))
     per_split = rows.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_from"))
@@ -67,8 +69,8 @@ def number_lines(text: DataFrame) -> DataFrame:
         "file", (F.col("_seq") - F.col("_from") + F.col("_shift") + 1).alias("line_no"), "line")
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    return number_lines(spark.read.text(paths))
+def read_lines(spark: SparkSession, paths: Sequence[str] | str, full_path: bool = False) -> DataFrame:
+    return number_lines(spark.read.text(paths), full_path)
 
 
 def field_count(line: str | Column, sep: str = ",") -> Column:

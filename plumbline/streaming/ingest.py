@@ -20,7 +20,7 @@ KEYS = {"statistics": (["email", "fecha_envio"], etl.STATISTICS_POLICY),
 
 def process_batch(text: DataFrame, batch_id: int, out: str) -> None:
     """Validate, type, rank, audit and write the deltas of one micro-batch."""
-    lines = fs.number_lines(text).persist()
+    lines = fs.number_lines(text, full_path=True).persist()
     try:
         listing = lines.select("file").distinct()
         accepted, rejected = fs.validate_layout(listing, lines)
