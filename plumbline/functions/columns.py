@@ -24,8 +24,10 @@ def exact_round(col: str | Column, digits: int) -> Column:
 # --- text -----------------------------------------------------------------------
 def blank_to_null(col: str | Column, markers: Sequence[str] = fixed.BLANKS) -> Column:
     """Trim, and turn the given missing-value markers into NULL."""
-    trimmed = F.trim(_c(col))
-    return F.when(~trimmed.isin(*markers), trimmed)
+    out = F.trim(_c(col))
+    for marker in markers:
+        out = F.nullif(out, F.lit(marker))
+    return out
 
 
 def title_case(col: str | Column, delimiters: str = " -") -> Column:
@@ -76,7 +78,7 @@ def rebuild_record(cols: Iterable[str | Column]) -> Column:
     def field(col: str | Column) -> Column:
         text = F.coalesce(_c(col), F.lit(""))
         quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-        return F.when(text.rlike('[,"]'), quoted).otherwise(text)
+        return F.when(text.contains(",") | text.contains('"'), quoted).otherwise(text)
 
     return F.concat_ws(",", *[field(c) for c in cols])
 

@@ -17,9 +17,7 @@ TEXTS = ("jyv", "badmail", "baja", "links", "ips", "navegadores", "plataformas")
 def stage(raw: DataFrame) -> DataFrame:
     """All-text staging: trimmed, no trailing carriage return, empty becomes
     NULL. The dash stays: it is evidence of how the source wrote "nothing"."""
-    def clean(c: str):
-        return blank_to_null(F.rtrim(F.regexp_replace(F.col(c), "\r+$", "")), ("",))
-    return raw.withColumns({c: clean(c) for c in fixed.RAW_COLUMNS})
+    return raw.withColumns({c: F.nullif(F.trim(F.col(c), F.lit(" \r")), F.lit("")) for c in fixed.RAW_COLUMNS})
 
 
 def type_records(raw: DataFrame, lineage: Sequence[str] = ("file_id", "line_no")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import blank_to_null, exact_round
 
@@ -170,9 +170,12 @@ def month_density(df: DataFrame, date: str, metric: str, fill_gaps: bool = False
 
 
 def value_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """Mean, sample deviation, percentiles and maximum. ``exact`` counts equal
-    values first and picks the percentiles from the counts; otherwise a sketch of
-    bounded size is used, which is the choice for a huge column."""
+    """Mean, sample deviation, percentiles and maximum.
+
+    Without ``exact`` the percentiles come from a sketch of bounded size. With it,
+    the sketch only brackets each percentile (its rank error is known); rows below
+    the bracket are counted and the few values inside are ranked, so the result is
+    exact and no task ever holds the column."""
     value = F.col(col).cast("double")
     marks = {"p1": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
     shape = [exact_round(F.avg(value), 2).alias("mean"), exact_round(F.stddev_samp(value), 2).alias("stddev"),
@@ -181,9 +184,21 @@ def value_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
         cuts = F.percentile_approx(value, list(marks.values()), 10000)
         return df.agg(*shape, cuts.alias("q")).select(
             "mean", "stddev", *[F.col("q")[i].alias(m) for i, m in enumerate(marks)], "max")
-    picks = [F.expr(f"percentile_disc({q}) within group (order by {col})").cast("double").alias(m)
-             for m, q in marks.items()]
-    return df.agg(*shape, *picks).select("mean", "stddev", *marks, "max")
+    slack, bound = 0.001, 10000
+    ends = [x for q in marks.values() for x in (max(0.0, q - slack), min(1.0, q + slack))]
+    first = df.agg(*shape, F.percentile_approx(col, ends, bound).alias("q"), F.count(col).alias("n")).first()
+    brackets = {m: (first["q"][2 * i], first["q"][2 * i + 1]) for i, m in enumerate(marks)}
+    below = df.agg(*[F.count_if(F.col(col) < F.lit(lo)).alias(m) for m, (lo, _) in brackets.items()])
+    hits = F.explode(F.array(*[F.when(F.col(col).between(F.lit(lo), F.lit(hi)), F.lit(m)) for m, (lo, hi) in brackets.items()]))
+    inside = df.select(F.col(col).alias("v"), hits.alias("mark")).filter("mark IS NOT NULL").groupBy("mark", "v").agg(_n("c"))
+    upto = F.sum("c").over(Window.partitionBy("mark").orderBy("v"))
+    share = F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])
+    ranked = inside.withColumn("upto", upto).join(_melt(below, [], "mark", "below"), "mark")
+    reached = F.col("upto") + F.col("below") >= F.ceil(share[F.col("mark")] * F.lit(first["n"]) - F.lit(1e-9))
+    picked = ranked.filter(reached).groupBy("mark").agg(F.min("v").cast("double").alias("v"))
+    wide = [F.max(F.when(F.col("mark") == m, F.col("v"))).alias(m) for m in marks]
+    facts = [F.lit(first[c]).cast("double").alias(c) for c in ("mean", "stddev")]
+    return picked.agg(*wide).select(*facts, *marks, F.lit(first["max"]).cast("double").alias("max"))
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import exact_round, fixed, safe_ratio
-from ..session import cut_lineage
+from ..session import cut_lineage, write_once
 
 AGGREGATES = {
     # an all-null sum is 0; a null in the data is skipped by every function
@@ -434,8 +434,8 @@ def segment(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], featur
             min_rows: int = 0, seed: int = 42, **sweep_args) -> dict[str, DataFrame]:
     """The whole path: entities, scaling, sweep, verdict and, unless there is no
     structure, labels, profile and findings."""
-    entities = to_entities(df, by, metrics, min_rows).withColumn("entity", F.concat_ws(" | ", *by))
-    scaled = standardize(entities, features).persist()
+    entities = write_once(to_entities(df, by, metrics, min_rows).withColumn("entity", F.concat_ws(" | ", *by)), "entities")
+    scaled = standardize(entities, features)
     z = [f"{f}_z" for f in features]
     sweep = sweep_k(scaled, z, "entity", seed=seed, **sweep_args).persist()
     verdict = structure_verdict(sweep)

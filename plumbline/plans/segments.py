@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import segment as s
+from ..session import write_once
 from .oracle import CTES, r, sql
 from .registry import query
 
@@ -114,7 +115,8 @@ def permuted_columns_keep_their_values(x):
 
 @query()
 def sweep_of_k(x):
-    rows = s.standardize(_entities(x).withColumn("entity", F.concat_ws(" | ", "brand", "geokey")), FEATURES)
+    entities = write_once(_entities(x).withColumn("entity", F.concat_ws(" | ", "brand", "geokey")), "entities")
+    rows = s.standardize(entities, FEATURES)
     return s.sweep_k(rows, [f"{f}_z" for f in FEATURES], "entity")
 
 
