@@ -15,16 +15,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import fixed
 from ..operators import profile as prof
 from ..operators.etl import stage
+from ..session import write_once
 
 
 # --- manifest -----------------------------------------------------------------------
 def file_manifest(spark: SparkSession, folder: str, pattern: str = fixed.REPORT_NAME) -> DataFrame:
     """Files whose name matches, with size and modification time. Contents are
-    not read."""
-    files = spark.read.format("binaryFile").load(folder)
+    not read. The reader skips empty files, which must be seen to be rejected, so
+    those are taken from its listing."""
+    reader = spark.read.format("binaryFile").load(folder)
+    files = reader.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    empty = _empty_files(spark, set(reader.inputFiles()) - {r["path"] for r in files.select("path").collect()})
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), "path", F.col("length").alias("bytes"),
-                        F.col("modificationTime").alias("modified")).filter(F.col("file").rlike(pattern))
+    return files.unionByName(empty).select(name.alias("file"), "path", "bytes", "modified").filter(F.col("file").rlike(pattern))
+
+
+def _empty_files(spark: SparkSession, paths: set[str]) -> DataFrame:
+    conf, rows = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in sorted(paths):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        rows.append((p, 0, path.getFileSystem(conf).getFileStatus(path).getModificationTime()))
+    df = spark.createDataFrame(rows, "path string, bytes long, ms long")
+    return df.select("path", "bytes", F.timestamp_millis("ms").alias("modified"))
 
 
 def quiet_files(manifest: DataFrame, as_of: str, minutes: int = fixed.QUIET_MINUTES) -> DataFrame:
@@ -38,7 +50,8 @@ def with_hash(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFram
     listing; a file is one row, so this is for files under 2 GB each."""
     content = spark.read.format("binaryFile").load(folder).select(
         "path", F.sha2("content", 256).alias("hash"))
-    return manifest.join(content, "path")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return manifest.join(content, "path", "left").withColumn("hash", F.coalesce("hash", nothing))
 
 
 def new_files(hashed: DataFrame, seen: DataFrame) -> DataFrame:
@@ -80,12 +93,14 @@ def field_count(line: str | Column, sep: str = ",") -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
-def split_fields(line: str | Column, n: int, sep: str = ",") -> Column:
-    """Fields of a line as an array of text, quotes removed."""
+def split_fields(line: str | Column, sep: str = ",") -> Column:
+    """Fields of a line as an array of text, quotes removed. A separator counts
+    only where an even number of quotes follows."""
     c = F.col(line) if isinstance(line, str) else line
-    schema = ", ".join(f"f{i} STRING" for i in range(n))
-    parsed = F.from_csv(c, F.lit(schema), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    return F.array(*[parsed[f"f{i}"] for i in range(n)])
+    parts = F.split(c, rf'[{sep}](?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    quoted = r'^\s*"(.*)"\s*$'
+    return F.transform(parts, lambda p: F.when(
+        p.contains('"'), F.replace(F.regexp_replace(p, quoted, "$1"), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
 # --- layout --------------------------------------------------------------------------------
@@ -94,10 +109,10 @@ def layout_stats(manifest: DataFrame, lines: DataFrame, columns: int = len(fixed
     header = F.col("line_no") == 1
     body = ~header & (F.trim("line") != "")
     width = field_count("line")
-    fields = split_fields("line", columns)
+    fields = split_fields("line")
     anchors = F.lit(True)
     for at, word in fixed.ANCHORS.items():
-        anchors = anchors & F.coalesce(F.lower(F.trim(fields[at - 1])) == word.lower(), F.lit(False))
+        anchors = anchors & F.coalesce(F.lower(F.trim(F.get(fields, at - 1))) == word.lower(), F.lit(False))
     stats = lines.groupBy("file").agg(
         F.count_if(body).alias("rows"), F.max(F.when(header, width)).alias("header_width"),
         F.min(F.when(body, width)).alias("min_width"), F.max(F.when(body, width)).alias("max_width"),
@@ -121,18 +136,17 @@ def header_mismatches(lines: DataFrame, expected: Sequence[str] = tuple(h for _,
                       exempt: Sequence[int] = fixed.HEADER_EXEMPT) -> DataFrame:
     """Header names that differ from the expected ones (V-02, a warning)."""
     want = F.array(*[F.lit(h) for h in expected])
-    heads = lines.filter("line_no = 1").select("file", F.posexplode(split_fields("line", len(expected))))
+    heads = lines.filter("line_no = 1").select("file", F.posexplode(split_fields("line")))
     return heads.select("file", (F.col("pos") + 1).alias("position"), F.trim("col").alias("found"),
-                        want[F.col("pos")].alias("expected")).filter(
+                        F.get(want, F.col("pos")).alias("expected")).filter(
         ~F.col("position").isin(*exempt) & ~F.lower("found").eqNullSafe(F.lower("expected")))
 
 
 def load_raw(lines: DataFrame, accepted: DataFrame) -> DataFrame:
     """All-text rows of the accepted files: file, line number and 15 fields."""
-    fields = split_fields("line", len(fixed.RAW_COLUMNS))
     rows = lines.filter((F.col("line_no") > 1) & (F.trim("line") != "")).join(accepted.select("file"), "file", "left_semi")
-    out = rows.select("file", "line_no", fields.alias("_f"))
-    return stage(out.select("file", "line_no", *[F.col("_f")[i].alias(c) for i, c in enumerate(fixed.RAW_COLUMNS)]))
+    out = rows.select("file", "line_no", split_fields("line").alias("_f"))
+    return stage(out.select("file", "line_no", *[F.get("_f", i).alias(c) for i, c in enumerate(fixed.RAW_COLUMNS)]))
 
 
 def reconcile_load(raw: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,19 +191,19 @@ def profile_file(spark: SparkSession, path: str, sample: int | None = None) -> d
     whole file is profiled unless a sample size is given."""
     found = guess_delimiter(spark, path).first()
     sep = found["delimiter"] if found else ","
-    lines = read_lines(spark, path).filter(F.trim("line") != "")
+    # written once: every part of the profile reads it
+    lines = write_once(read_lines(spark, path).filter(F.trim("line") != ""), "lines")
     head = lines.filter("line_no = 1").first()
     if head is None:
         raise ValueError(f"{path} has no readable rows")
-    width = spark.range(1).select(field_count(F.lit(head["line"]), sep).alias("n")).first()["n"]
-    names = spark.range(1).select(split_fields(F.lit(head["line"]), width, sep).alias("f")).first()["f"]
-    names = [(n or "").strip() for n in names]
+    names = spark.range(1).select(split_fields(F.lit(head["line"]), sep).alias("f")).first()["f"]
+    names, width = [n.strip() for n in names], len(names)
     cols = [n or f"(unnamed {i + 1})" for i, n in enumerate(names)]
     cols = [c if cols.index(c) == i else f"{c} ({i + 1})" for i, c in enumerate(cols)]
     body = lines.filter("line_no > 1").select("file", "line_no", "line", field_count("line", sep).alias("_width"))
     rows = body.orderBy("line_no").limit(sample) if sample else body
-    fields = rows.select("line_no", split_fields("line", width, sep).alias("_f"))
-    data = fields.select("line_no", *[F.coalesce(F.col("_f")[i], F.lit("")).alias(c) for i, c in enumerate(cols)])
+    fields = rows.select("line_no", split_fields("line", sep).alias("_f"))
+    data = fields.select("line_no", *[F.coalesce(F.get("_f", i), F.lit("")).alias(c) for i, c in enumerate(cols)])
     text = [f"`{c}`" for c in cols]
     columns = prof.profile_columns(data.select(*text), cols).join(
         prof.column_examples(data.select("line_no", *text), ["line_no"], cols), "column_name", "left")
