@@ -25,7 +25,9 @@ def file_manifest(spark: SparkSession, folder: str, pattern: str = fixed.REPORT_
     those are taken from its listing."""
     reader = spark.read.format("binaryFile").load(folder)
     files = reader.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    empty = _empty_files(spark, set(reader.inputFiles()) - {r["path"] for r in files.select("path").collect()})
+    plain = spark.sparkContext._jvm.org.apache.hadoop.fs.Path  # one spelling for every path
+    listed = {plain(p).toString() for p in reader.inputFiles()}
+    empty = _empty_files(spark, listed - {r["path"] for r in files.select("path").collect()})
     name = F.element_at(F.split("path", "/"), -1)
     return files.unionByName(empty).select(name.alias("file"), "path", "bytes", "modified").filter(F.col("file").rlike(pattern))
 
@@ -191,8 +193,7 @@ def profile_file(spark: SparkSession, path: str, sample: int | None = None) -> d
     whole file is profiled unless a sample size is given."""
     found = guess_delimiter(spark, path).first()
     sep = found["delimiter"] if found else ","
-    # written once: every part of the profile reads it
-    lines = write_once(read_lines(spark, path).filter(F.trim("line") != ""), "lines")
+    lines = read_lines(spark, path).filter(F.trim("line") != "")
     head = lines.filter("line_no = 1").first()
     if head is None:
         raise ValueError(f"{path} has no readable rows")
@@ -200,14 +201,15 @@ def profile_file(spark: SparkSession, path: str, sample: int | None = None) -> d
     names, width = [n.strip() for n in names], len(names)
     cols = [n or f"(unnamed {i + 1})" for i, n in enumerate(names)]
     cols = [c if cols.index(c) == i else f"{c} ({i + 1})" for i, c in enumerate(cols)]
-    body = lines.filter("line_no > 1").select("file", "line_no", "line", field_count("line", sep).alias("_width"))
-    rows = body.orderBy("line_no").limit(sample) if sample else body
-    fields = rows.select("line_no", split_fields("line", sep).alias("_f"))
-    data = fields.select("line_no", *[F.coalesce(F.get("_f", i), F.lit("")).alias(c) for i, c in enumerate(cols)])
+    body = lines.filter("line_no > 1").select("line_no", field_count("line", sep).alias("_width"), split_fields("line", sep).alias("_f"))
+    # the parsed table is written once, under plain names; every part of the profile reads it
+    stored = write_once(body.select("line_no", "_width", *[F.coalesce(F.get("_f", i), F.lit("")).alias(f"c{i}") for i in range(width)]), "fields")
+    rows = stored.orderBy("line_no").limit(sample) if sample else stored
+    data = rows.select("line_no", *[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
     text = [f"`{c}`" for c in cols]
     columns = prof.profile_columns(data.select(*text), cols).join(
         prof.column_examples(data.select("line_no", *text), ["line_no"], cols), "column_name", "left")
-    irregular = body.filter(F.col("_width") != width).select("line_no", F.col("_width").alias("columns"))
+    irregular = stored.filter(F.col("_width") != width).select("line_no", F.col("_width").alias("columns"))
     ends = line_endings(spark, path)
     anomalies = [
         irregular.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(
