@@ -209,6 +209,7 @@ def profile_file(spark: SparkSession, path: str, sample: int | None = None) -> d
     text = [f"`{c}`" for c in cols]
     columns = prof.profile_columns(data.select(*text), cols).join(
         prof.column_examples(data.select("line_no", *text), ["line_no"], cols), "column_name", "left")
+    columns = write_once(columns, "columns")  # one row per column, used by all that follows
     irregular = stored.filter(F.col("_width") != width).select("line_no", F.col("_width").alias("columns"))
     ends = line_endings(spark, path)
     anomalies = [
