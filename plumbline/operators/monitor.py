@@ -332,7 +332,9 @@ CASE_KINDS = ("badmail_con_actividad", "badmail_perdido_en_dedupe", "fecha_anter
 def ambiguous_cases(stats: DataFrame, incidents: DataFrame, kinds: Sequence[str] = CASE_KINDS,
                     flag_values: Sequence[str] | None = None) -> DataFrame:
     """Records where the business rule is open. By default any mark counts as
-    flagged; ``flag_values`` narrows it to the words that mean yes."""
+    flagged; ``flag_values`` narrows it to the words that mean yes. A send whose
+    address lost a bounce mark in deduplication appears once, with the number of
+    discarded rows: pairing both sides would square a busy address."""
     unknown = set(kinds) - set(CASE_KINDS)
     if unknown:
         raise ValueError(f"unknown kinds {sorted(unknown)}")
@@ -353,13 +355,14 @@ def ambiguous_cases(stats: DataFrame, incidents: DataFrame, kinds: Sequence[str]
     parts = []
     if hits:
         parts.append(stats.select(*shown, early.alias("_early"), F.explode(F.array(*hits)).alias("kind")).filter("kind IS NOT NULL")
-                     .withColumn("minutes", F.when(c("kind") == "fecha_anterior_al_envio", c("_early"))).drop("_early"))
+                     .withColumns({"minutes": F.when(c("kind") == "fecha_anterior_al_envio", c("_early")),
+                                   "discarded": F.lit(None).cast("long")}).drop("_early"))
     if "badmail_perdido_en_dedupe" in kinds:
         dropped = incidents.filter((c("codigo_error") == "V-07") & record_has_token("registro_completo", "HARD")).select(
-            F.lower(F.trim(first_token("registro_completo"))).alias("email"))
+            F.lower(F.trim(first_token("registro_completo"))).alias("email")).groupBy("email").agg(F.count(F.lit(1)).alias("discarded"))
         lost = stats.filter(active).select(*shown).join(dropped, "email")
         parts.append(lost.select(*shown, F.lit("badmail_perdido_en_dedupe").alias("kind"),
-                                 F.lit(None).cast("long").alias("minutes")))
+                                 F.lit(None).cast("long").alias("minutes"), "discarded"))
     return stack_checks(parts)
 
 

@@ -174,15 +174,15 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str, key: str, run
 
 
 # --- null model --------------------------------------------------------------------------------
-def hash_positions(df: DataFrame, key: str, salt: str, name: str, buckets: int = 64) -> DataFrame:
+def hash_positions(df: DataFrame, key: str, salt: str, name: str, bits: int = 10) -> DataFrame:
     """Position 0..n-1 of every row in a pseudo-random order given by ``salt``.
 
-    The order is that of a hash, so equal slices of the hash range hold equally
-    many rows: rows are numbered inside their slice and shifted by the rows of
+    The order is that of a hash, so the 2**``bits`` equal slices of its range hold
+    about equally many rows: rows are numbered inside their slice and shifted by the rows of
     earlier slices. It does not depend on how the data are partitioned."""
     h = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
     # monotone in h: the top bits, shifted to start at 0
-    part = (F.shiftright(h, 58) + 32).cast("int") if buckets == 64 else F.lit(0)
+    part = (F.shiftright(h, 64 - bits) + 2 ** (bits - 1)).cast("int")
     rows = df.withColumns({"_h": h, "_part": part})
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(

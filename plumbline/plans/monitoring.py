@@ -208,12 +208,12 @@ def reconciliation_verdict(x):
 # --- ambiguous cases and rulings ---------------------------------------------------------------------------
 _ACT = "(opens > 0 OR clicks > 0)"
 CTES["cases"] = (("stats", "incidents"), " UNION ALL ".join(
-    f"SELECT '{k}' AS kind, email, fecha_envio, opens, clicks, {'datesub(' + chr(39) + 'minute' + chr(39) + ', fecha_envio, fecha_open)' if k.startswith('fecha') else 'CAST(NULL AS BIGINT)'} AS minutes FROM stats WHERE {c}" for k, c in {
+    f"SELECT '{k}' AS kind, email, fecha_envio, opens, clicks, {'datesub(' + chr(39) + 'minute' + chr(39) + ', fecha_envio, fecha_open)' if k.startswith('fecha') else 'CAST(NULL AS BIGINT)'} AS minutes, CAST(NULL AS BIGINT) AS discarded FROM stats WHERE {c}" for k, c in {
         "badmail_con_actividad": f"badmail IS NOT NULL AND {_ACT}", "fecha_anterior_al_envio": "fecha_open < fecha_envio",
         "virales_mayor_que_total": "opens_virales > opens OR clicks_virales > clicks", "baja_con_actividad": f"baja IS NOT NULL AND {_ACT}",
         "clic_sin_apertura": "clicks > 0 AND fecha_open IS NULL"}.items())
-    + " UNION ALL SELECT 'badmail_perdido_en_dedupe', s.email, s.fecha_envio, s.opens, s.clicks, NULL FROM incidents i JOIN stats s ON s.email = lower(split_part(i.registro_completo, ',', 1)) "
-      f"WHERE codigo_error = 'V-07' AND regexp_matches(i.registro_completo, '(^|,)HARD(,|$)') AND {_ACT}")
+    + " UNION ALL SELECT 'badmail_perdido_en_dedupe', s.email, s.fecha_envio, s.opens, s.clicks, NULL, i.n FROM stats s JOIN (SELECT lower(split_part(registro_completo, ',', 1)) AS email, count(*) AS n FROM incidents "
+      f"WHERE codigo_error = 'V-07' AND regexp_matches(registro_completo, '(^|,)HARD(,|$)') GROUP BY 1) i USING (email) WHERE {_ACT}")
 
 
 @query(sql("SELECT * FROM cases", "cases"))
