@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import decontaminate, language, packing, simhash, tokens, vectors
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,11 +16,53 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary_path(VOCABULARY)))
 
 
+def op4_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language.learn(docs.where(~language.held_out()))
+    return language.identify(docs.select("doc_id", "text"), network).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary_path(VOCABULARY))
 
 
+def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cost_balanced_packing, op9_token_counts)
+    f.__name__: f for f in (op2_cost_balanced_packing, op4_projection_collisions, op7_byte_network_language, op8_simhash_balls, op9_token_counts, op10_winnowing_decontamination)
+}
+#: Words of op10 in SQL.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sql_words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLES: dict[str, str] = {
+    "op10_winnowing_decontamination": f"""
+WITH d AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
+b AS (SELECT item_id, {sql_words("text")} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, list_slice(w, i, i + least(10, len(w)) - 1) AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT DISTINCT len(g) AS n FROM bw),
+dw AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n)),
+h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+      FROM (SELECT DISTINCT doc_id, item_id::varchar AS s FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
-ORACLES: dict[str, str] = {}

@@ -12,7 +12,7 @@ import xxhash
 #: Words are hashed in blocks of so many bytes; a longer word is hashed alone.
 BLOCK = 1 << 20
 #: Batches are cut into slices of about so many bytes of text, at least one text each.
-SLICE = 8 << 20
+SLICE = 4 << 20
 BASE = 0x9E3779B97F4A7C15 | 5
 
 
@@ -51,7 +51,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 class Words:
-    """data: bytes after folding; start, end: of each word; first: index of the first word of
+    """data: bytes after folding; inside: which of them belong to words; start, end: of each word; first: index of the first word of
     each text, and the number of words at the end."""
 
     def __init__(self, column: pa.Array, kind: tuple[np.ndarray, np.ndarray]):
@@ -67,6 +67,7 @@ class Words:
         before[1:], after[:-1] = inside[:-1], inside[1:]
         before[self.at[:-1][self.at[:-1] < len(raw)]] = False
         after[self.at[1:][self.at[1:] > 0] - 1] = False
+        self.inside = inside
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, self.at)

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .scan import PIECES, Table, Words, slices
 
 #: When a Python worker remembers more pieces or words than this, it starts afresh with the proven ones.
-REMEMBERED = 2_500_000
-WORDS_REMEMBERED = 300_000
+REMEMBERED = 1_500_000
+WORDS_REMEMBERED = 150_000
 #: Pieces of these characters are normalised and cut alike here and in the tokenizer; any other piece is left to it whole.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
 #: The cut of the vocabulary's own file.
