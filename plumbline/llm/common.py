@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,7 +19,25 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(ASCII_LOWER)) if text else []
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes Spark send this package to the Python workers, once per application, so that it need not be
+    installed on the executors."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(to))
+        _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -153,8 +153,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, text_key, fingerprint, component_id) for every row: component_id is the smallest
-    doc_id reachable through fingerprints that differ in at most ``radius`` bits.
+    """(doc_id, text_key, fingerprint, root, component_id) for every row: component_id is the smallest
+    doc_id reachable through fingerprints that differ in at most ``radius`` bits, root one of these fingerprints (it
+    tells groups apart where rows of one doc_id have different texts).
 
     A null or empty text, or white space alone, has fingerprint zero and links like any other;
     repeated rows share a component; rows without an id take part, and a component of such rows only has a null
@@ -166,15 +167,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected_components(links(distinct.select("fingerprint"), radius), "simhash").withColumnRenamed("node", "fingerprint")
     placed = write_once(distinct.join(roots, "fingerprint", "left").select("fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root")), "placed")
     ids = write_once(placed.groupBy("root").agg(F.min("smallest").alias("component_id")), "component-ids")
-    of = write_once(placed.join(ids, "root").select("fingerprint", "component_id"), "components-of")
-    return marked.join(of, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
+    of = write_once(placed.join(ids, "root").select("fingerprint", "root", "component_id"), "components-of")
+    return marked.join(of, "fingerprint").select("doc_id", "text_key", "fingerprint", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one whose doc_id names the group
     (of repeated rows with that doc_id, one). All columns stay."""
     found = near_duplicates(docs, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id") \
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root") \
         .agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
     keep = write_once(keep.select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")), "kept")
     rows = docs.withColumn("_near_key", text_key())
