@@ -166,14 +166,14 @@ def identify(docs: DataFrame, network: Network | None, name: str = "lang_pred",
     other columns stay, except that one of either name is replaced.
     """
     docs = docs.drop(name, score)
-    rows = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.withColumn("__has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = network.lookups() if network else None
         for batch in batches:
             for part in slices(batch):
-                letter = part.column("_letter").to_numpy(zero_copy_only=False)
+                letter = part.column("__has_letter").to_numpy(zero_copy_only=False)
                 names, scores = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if network:
                     windows, full, first = cut(part.column("text"))
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, network: Network | None, name: str = "lang_pred",
                         p = (sums[first[1:]] - sums[first[:-1]])[some]
                         p /= p.sum(1, keepdims=True)
                         names[some], scores[some] = np.array(network.labels, object)[p.argmax(1)], p.max(1)
-                keep = [c for c in part.schema.names if c != "_letter"]
+                keep = [c for c in part.schema.names if c != "__has_letter"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.clip(scores, 0, 1))], names=[*keep, name, score])
 
     return rows.mapInArrow(tell, schema)

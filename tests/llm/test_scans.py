@@ -1,0 +1,134 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from llm.common import ODD, frame, prose
+from plumbline.llm import language, licenses, secret_scan
+from plumbline.llm.common import words
+
+NOTICES = [
+    (30, prose(30, 40) + " Licensed under the Apache License, Version 2.0. " + prose(31, 40)),
+    (31, "mit license mit  LICENSE"), (32, prose(32, 90) + " " + licenses.TEMPLATES["mit-grant"].upper()),
+    (33, " ".join(licenses.TEMPLATES["bsd"].split()[3:])), (34, " ".join(licenses.TEMPLATES["bsd"].split()[8:])), (35, "cc-by"), (36, "Licensed under CC BY-NC 4.0." * 2),
+    (37, prose(37, 70) + " gnu general public license " + prose(38, 5)), (None, "Apache License"),
+]
+
+
+def brute_licenses(rows):
+    size, out = 2 * max(len(words(t)) for t in licenses.TEMPLATES.values()), []
+    for i, text in rows:
+        w, base, at, labels, best = words(text), set(), [], set(), 0.0
+        for phrase, label in {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}.items():
+            p = phrase.split()
+            found = [a for a in range(len(w)) if w[a:a + len(p)] == p]
+            at += found
+            base |= {label} if found else set()
+        for a in range(0, len(w), size // 2):
+            block = set(w[a:a + size])
+            for label, t in licenses.TEMPLATES.items():
+                t = set(words(t))
+                if len(t & block) >= 0.8 * len(t) - 1e-9:
+                    labels.add(label)
+                    best = max(best, len(t & block) / len(t))
+        out.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if at else best))
+    return sorted(out, key=str)
+
+
+def test_licenses_against_all_blocks(spark):
+    rows = ODD + NOTICES
+    got = sorted(map(tuple, licenses.digest(licenses.scan(frame(spark, rows))).collect()), key=str)
+    assert got == brute_licenses(rows)
+    assert {g[0]: g[6] for g in got if g[0] in (32, 33, 36)} == {32: "mit-grant", 33: "bsd", 36: "cc-by,cc-by-nc-4.0"}
+    assert licenses.scan(frame(spark, [])).collect() == []
+    with pytest.raises(ValueError):
+        licenses.scan(frame(spark), {})
+
+
+TONGUES = {"aa": "ka te ri mo ", "bb": "schu grö bei der ", "cc": "que les ou été "}
+
+
+def labelled_texts(n=60):
+    rng, out = np.random.default_rng(0), []
+    for i in range(n * len(TONGUES)):
+        lang = list(TONGUES)[i % len(TONGUES)]
+        parts = TONGUES[lang].split()
+        out.append((i, " ".join(parts[k] + parts[j] for k, j in rng.integers(0, len(parts), (int(rng.integers(3, 150)), 2))), lang))
+    return out
+
+
+def test_language_held_out_accuracy(spark):
+    rows = spark.createDataFrame(labelled_texts(), "doc_id bigint, text string, lang string")
+    network = language.learn(rows.where(~language.held_out()))
+    told = language.identify(rows, network).where(language.held_out()).collect()
+    assert len(told) > 20 and np.mean([r.lang == r.lang_pred for r in told]) > 0.95
+    odd = language.identify(frame(spark), network)
+    assert odd.columns.count("score") == 1 and odd.where("text_key = 'mine text_key'").count() == len(ODD)
+    for r in odd.collect():
+        assert 0 <= r.score <= 1 and (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    kept = language.accepted(frame(spark), network, 0.0)
+    assert kept.columns == frame(spark).columns and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t in ODD)
+    none = language.learn(rows.where("false"))
+    assert none is None and {r.lang_pred for r in language.identify(rows, none).collect()} == {"und"}
+
+
+def test_windows_cover_every_byte():
+    import pyarrow as pa
+
+    texts = ["x" * 256, "", None, "ab" * 300, "é"]
+    windows, full, first = language.cut(pa.array(texts))
+    assert first.tolist() == [0, 1, 1, 1, 4, 5] and full.tolist() == [256, 256, 256, 88, 2]
+    assert windows[4, :2].tolist() == language.CLASS[list("é".encode())].tolist() and not windows[4, 2:].any()
+
+
+def test_table_rows_equal_convolutions():
+    rng = np.random.default_rng(5)
+    net = language.train(rng.integers(0, language.N, (40, language.WINDOW)), rng.integers(0, 2, 40), ["x", "y"])
+    part = rng.integers(0, language.N, (3, language.WINDOW))
+    wide = language.WINDOW - max(language.WIDTHS) + 1
+    best = [sum(t[k][part[:, k:k + wide]] for k in range(w)).max(1) for w, t in zip(language.WIDTHS, net.tables)]
+    z = np.maximum(np.concatenate(best, 1) + net.bias, 0) @ net.weights + net.offset
+    want = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    assert np.allclose(net.probabilities(part, net.lookups()), want, atol=1e-4)
+
+
+def hexes(i, n):
+    import hashlib
+
+    return hashlib.sha512(str(i).encode()).hexdigest()[:n]
+
+
+def leaks():
+    out = []
+    for i in range(40):
+        out += [(1000 + i, f"{prose(i, 12)} password={hexes(i, 18)} {prose(i + 1, 9)}"), (2000 + i, f'{prose(i, 9)} token = "{hexes(-i, 40)}" {prose(i, 9)}'),
+                (3000 + i, f"{prose(i, 9)} AKIA{hexes(i + 99, 16).upper()} {prose(i, 9)}"), (4000 + i, f"call {int(hexes(i, 15), 16):018d} {prose(i, 9)}")]
+    return out
+
+
+def test_secrets_and_false_positives(spark):
+    known, fresh = leaks()[:100], leaks()[100:] + [(9000, "password=banana-split-recipe " + prose(3, 9)), (9001, "token = aaaaaaaaaaaaaaaaaaaaaaaa"), (9002, "my password: your-example-key-here")]
+    wordlist = spark.createDataFrame([("banana",), ("split",), ("recipe",)] + [(w,) for w in set(prose(3, 300).split())], "word string")
+    findings = secret_scan.labelled_findings(frame(spark, known))
+    found = secret_scan.scan(frame(spark, fresh), wordlist, findings).collect()
+    told = {r.doc_id: r.secret for r in found}
+    assert all(told[i] == (i < 4000) for i in told) and set(told) == {i for i, _ in fresh}
+    redacted = secret_scan.redacted(frame(spark, fresh, n_chars=F.length("text")), secret_scan.scan(frame(spark, fresh), wordlist, findings))
+    for r in redacted.collect():
+        before = dict(fresh)[r.doc_id]
+        assert (r.text == before) == (r.doc_id >= 4000) and ("[secret]" in r.text) == (r.doc_id < 4000) and r.n_chars == len(r.text)
+
+
+def test_candidates_in_odd_texts(spark):
+    rows = ODD + [(50, "a1" * 200_000), (51, "password=" + "q" * 100_000), (52, "pwd:hunter2hunter2,token='abcdef0123'"), (52, "pwd:hunter2hunter2,token='abcdef0123'")]
+    got = sorted(((r.doc_id, r.place, len(r.value)) for r in secret_scan.candidates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(50, 0, 400_000), (51, 0, 100_000)] + 2 * [(52, 0, 14), (52, 1, 10)], key=str)
+    none = secret_scan.scan(frame(spark, []), spark.createDataFrame([], "word string"), secret_scan.labelled_findings(frame(spark, [])))
+    assert none.collect() == []
+    all_count = secret_scan.scan(frame(spark, rows), spark.createDataFrame([("a",)], "word string"), secret_scan.labelled_findings(frame(spark, [])))
+    assert all(r.secret for r in all_count.collect())
+
+
+def test_secret_scan_has_no_python(spark):
+    df = secret_scan.features(secret_scan.candidates(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("token=abc123abc123").alias("text"))), spark.range(1).select(F.lit("abc").alias("word")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
