@@ -71,6 +71,12 @@ def guarded_int(col: str | Column) -> Column:
     return F.coalesce(F.when(text.rlike(fixed.DIGITS), text.try_cast("long")), F.lit(0).cast("long"))
 
 
+def is_count(col: str | Column) -> Column:
+    """Digits only, and few enough to be a number."""
+    text = F.trim(_c(col))
+    return text.rlike(fixed.DIGITS) & text.try_cast("long").isNotNull()
+
+
 # --- record strings ----------------------------------------------------------------
 def rebuild_record(cols: Iterable[str | Column]) -> Column:
     """One delimited line holding every field: NULL stays an empty field, and a
@@ -87,10 +93,17 @@ def bad_record_len(col: str | Column, n: int, quoted: bool = True) -> Column:
     """Does the record have other than ``n`` fields? Commas inside quotes do not
     separate fields unless ``quoted`` is off."""
     text = _c(col)
-    bare = F.regexp_replace(text, r'"([^"]|"")*"', "") if quoted else text
+    bare = outside_quotes(text) if quoted else text
     return (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1) != n
 
 
+def outside_quotes(col: str | Column) -> Column:
+    """The text without its quoted parts; a quote that is never closed opens the rest. A doubled quote is the
+    end of one part and the start of the next, so no alternative is needed and a field of any length is
+    matched without recursion."""
+    return F.regexp_replace(_c(col), r'"[^"]*+("|$)', "")
+
+
 def first_token(col: str | Column, sep: str = ",") -> Column:
     return F.substring_index(_c(col), sep, 1)
 

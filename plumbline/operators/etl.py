@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import blank_to_null, email_ok, fixed, guarded_int, parse_any, rebuild_record
+from ..functions import blank_to_null, email_ok, fixed, guarded_int, is_count, parse_any, rebuild_record
 from .windows import rank_best
 
 COUNTERS = ("opens", "opens_virales", "clicks", "clicks_virales")
@@ -23,7 +23,7 @@ def stage(raw: DataFrame) -> DataFrame:
 def type_records(raw: DataFrame, lineage: Sequence[str] = ("file_id", "line_no")) -> DataFrame:
     """Typed work layer. Nothing can fail: unreadable dates become NULL and
     unreadable counters 0, each with a flag or the original text beside it."""
-    digits = [F.trim(c).rlike(fixed.DIGITS) for c in ("opens", "clicks")]
+    digits = [is_count(c) for c in ("opens", "clicks")]
     return raw.select(
         *lineage,
         F.lower(F.trim("email")).alias("email"),
@@ -67,28 +67,31 @@ def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str], poli
 
     It is one aggregate: keys are combined before the shuffle, so a key that
     makes up much of the batch does not gather in one task. The result keeps the
-    first and last sequence, so merging is associative and results can be merged
-    again with later batches.
+    first and last sequence (without ``keep_nulls`` also that of every kept value), so merging is associative
+    and results can be merged again with later batches.
     """
     def marked(df: DataFrame) -> DataFrame:
-        if {"_first", "_last"} <= set(df.columns):
-            return df.select(*keys, *policy, "_first", "_last")
         at = F.struct(*[F.col(c).cast("long").alias(f"s{i}") for i, c in enumerate(seq)])
-        return df.select(*keys, *policy, at.alias("_first"), at.alias("_last"))
+        done = {"_first", "_last"} <= set(df.columns)
+        own = [(F.col(s) if s in df.columns else F.when(F.col(c).isNotNull(), F.col("_last") if done else at)).alias(s) for c, s in known.items()]
+        ends = ["_first", "_last"] if done else [at.alias("_first"), at.alias("_last")]
+        return df.select(*keys, *policy, *ends, *own)
 
-    rows = marked(batch) if target is None else marked(target).unionByName(marked(batch))
     last = [c for c, p in policy.items() if p == "last"]
+    # a kept value is as old as the row it came from, not as the last row of its key
+    known = {} if keep_nulls else {c: f"_at_{c}" for c in last}
+    rows = marked(batch) if target is None else marked(target).unionByName(marked(batch))
     first = [c for c, p in policy.items() if p == "first"]
     aggs = [F.max(c).alias(c) for c, p in policy.items() if p == "max"]
     if last and keep_nulls:
         aggs.append(F.max_by(F.struct(*last), "_last").alias("_l"))
     elif last:
-        aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_last"))).alias(c) for c in last]
+        aggs += [F.max_by(c, s).alias(c) for c, s in known.items()] + [F.max(s).alias(s) for s in known.values()]
     if first:
         aggs.append(F.min_by(F.struct(*first), "_first").alias("_f"))
     merged = rows.groupBy(*keys).agg(*aggs, F.min("_first").alias("_first"), F.max("_last").alias("_last"))
     where = {**{c: f"_f.{c}" for c in first}, **({c: f"_l.{c}" for c in last} if keep_nulls else {})}
-    return merged.select(*keys, *[F.col(where.get(c, c)).alias(c) for c in policy], "_first", "_last")
+    return merged.select(*keys, *[F.col(where.get(c, c)).alias(c) for c in policy], "_first", "_last", *known.values())
 
 
 def statistics(ranked: DataFrame, target: DataFrame | None = None, seq=("file_id", "line_no"), **kw) -> DataFrame:

@@ -100,11 +100,11 @@ def revenue_by(df: DataFrame, by: Sequence[str], key: str, key_alias: str, score
 def apply_rls(df: DataFrame, mapping: DataFrame, user: str, code: str = "countrycode") -> DataFrame:
     """Rows a user may see. The user's codes are a handful of rows; ``ALL`` opens
     everything through a scalar subquery, so no join condition has an OR."""
-    codes = mapping.filter(F.col("useremail") == F.lower(F.trim(F.lit(user)))).select(
+    codes = mapping.filter(F.lower(F.trim("useremail")) == F.lower(F.trim(F.lit(user)))).select(
         F.upper(F.trim("countrycode")).alias("_code"))
     sees_all = codes.agg(F.coalesce(F.bool_or(F.col("_code") == "ALL"), F.lit(False)).alias("x")).scalar()
     own = codes.distinct().withColumn("_mine", F.lit(True))
     return (
-        df.join(own, F.col(code) == F.col("_code"), "left")
+        df.join(own, F.upper(F.trim(code)) == F.col("_code"), "left")
         .filter(sees_all | F.col("_mine")).select(*df.columns)
     )

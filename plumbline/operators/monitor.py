@@ -30,8 +30,7 @@ def catalogue(spark) -> DataFrame:
 
 
 def with_catalogue(incidents: DataFrame, cat: DataFrame) -> DataFrame:
-    # the catalogue is a literal frame of ten rows
-    return incidents.join(F.broadcast(cat), "codigo_error", "left")
+    return incidents.join(cat, "codigo_error", "left")
 
 
 def catalogue_usage(cat: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import blank_to_null, exact_round
+from ..session import write_once
 
 
 def _n(name: str = "n") -> Column:
@@ -92,7 +93,7 @@ def repeated_entities(df: DataFrame, key: str) -> DataFrame:
     than once."""
     keyed = df.withColumn("entity", F.lower(blank_to_null(key, ("",))))
     often = keyed.filter("entity IS NOT NULL").groupBy("entity").agg(_n("times_seen")).filter("times_seen > 1")
-    return keyed.join(often, "entity")
+    return keyed.filter("entity IS NOT NULL").join(write_once(often, "often"), "entity")
 
 
 # --- nulls and ranges --------------------------------------------------------------------
@@ -136,12 +137,14 @@ def orphans(fact: DataFrame, links: Sequence[tuple[str, DataFrame, str]]) -> Dat
 
 
 def missing_parent(child: DataFrame, parent: DataFrame, key: Sequence[str]) -> DataFrame:
-    return child.join(parent.select(*key).distinct(), list(key), "left_anti")
+    """Rows without a parent. The parents are read as they are, so that adaptive execution can split a hot key."""
+    return child.join(parent.select(*key), list(key), "left_anti")
 
 
 def split_by_existence(df: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Flag whether each row's key exists in the target."""
-    known = target.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    # written, so that the join shuffles both sides itself and adaptive execution can split a hot key
+    known = write_once(target.select(*keys).distinct(), "known").withColumn("_hit", F.lit(True))
     return df.join(known, list(keys), "left").withColumn("exists", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
@@ -187,6 +190,8 @@ def value_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     slack, bound = 0.001, 10000
     ends = [x for q in marks.values() for x in (max(0.0, q - slack), min(1.0, q + slack))]
     first = df.agg(*shape, F.percentile_approx(col, ends, bound).alias("q"), F.count(col).alias("n")).first()
+    if not first["n"]:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("mean", "stddev", *marks, "max")])
     brackets = {m: (first["q"][2 * i], first["q"][2 * i + 1]) for i, m in enumerate(marks)}
     below = df.agg(*[F.count_if(F.col(col) < F.lit(lo)).alias(m) for m, (lo, _) in brackets.items()])
     hits = F.explode(F.array(*[F.when(F.col(col).between(F.lit(lo), F.lit(hi)), F.lit(m)) for m, (lo, hi) in brackets.items()]))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import blank_to_null, fixed, truncate_text
+from ..session import write_once
 from .quality import empty_columns
 
 EVIDENCE = 500
@@ -164,6 +165,8 @@ def with_repetition(work: DataFrame, file: str = "file_id") -> DataFrame:
         F.count(F.lit(1)).alias("_send_n"), spans(file, "_send_files"), spans(action, "_send_differs"))
     key = F.sha2("registro_completo", 256)
     per_record = work.groupBy(key.alias("_sha")).agg(F.count(F.lit(1)).alias("_same_n"))
+    # written, so that each join shuffles both sides itself: adaptive execution then splits a busy (or missing) address
+    per_email, per_send, per_record = (write_once(d, n) for d, n in ((per_email, "per-email"), (per_send, "per-send"), (per_record, "per-record")))
     return (
         work.withColumn("_sha", key)
         .join(per_email, "email", "left").join(per_send, ["email", "fecha_envio"], "left").join(per_record, "_sha", "left")

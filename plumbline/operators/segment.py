@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact_round, fixed, safe_ratio
 from ..session import cut_lineage, write_once
@@ -37,6 +37,13 @@ def to_entities(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], mi
     return out.filter(F.col("_n_source_rows") >= min_rows) if min_rows > 0 else out
 
 
+def entity_name(by: Sequence[str]) -> Column:
+    """One text per entity; different keys have different names, also those with missing parts or bars."""
+    def part(c: str) -> Column:
+        return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1"), F.lit("\\N"))
+    return F.concat_ws(" | ", *map(part, by))
+
+
 def dropped_entities(df: DataFrame, by: Sequence[str], min_rows: int) -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count_if(F.col("n") < min_rows).alias("dropped_groups"), F.count(F.lit(1)).alias("all_groups"))
@@ -359,9 +366,9 @@ def fit_segments(df: DataFrame, features: Sequence[str], k: int, seed: int = 42,
 def segment_means(df: DataFrame, features: Sequence[str], label: str = "cluster") -> DataFrame:
     """Feature means, size and share of entities of each segment."""
     check_labelled(df, label)
-    grouped = df.groupBy(label).agg(*[exact_round(F.avg(f), 3).alias(f) for f in features],
-                                    F.count(F.lit(1)).alias("n_entities"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    grouped = write_once(df.groupBy(label).agg(*[exact_round(F.avg(f), 3).alias(f) for f in features],
+                                               F.count(F.lit(1)).alias("n_entities")), "segment-means")
+    total = grouped.agg(F.sum("n_entities").alias("n")).scalar()
     return grouped.withColumn("pct_of_entities", exact_round(safe_ratio("n_entities", total, 100), 1))
 
 
@@ -369,9 +376,9 @@ def value_concentration(df: DataFrame, value: str, label: str = "cluster") -> Da
     """Share of value against share of entities. Both shares are rounded before
     they are divided, as they are shown."""
     check_labelled(df, label)
-    grouped = df.groupBy(label).agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
-    whole = df.agg(F.sum(value).cast("double").alias("v")).scalar()
-    count = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    grouped = write_once(df.groupBy(label).agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n")), "segment-values")
+    whole = grouped.agg(F.sum("_v").cast("double").alias("v")).scalar()
+    count = grouped.agg(F.sum("_n").alias("n")).scalar()
     shares = grouped.select(label, exact_round(safe_ratio("_n", count, 100), 1).alias("pct_of_entities"),
                             exact_round(safe_ratio("_v", whole, 100), 1).alias("pct_of_value"))
     return shares.withColumn("concentration_ratio", exact_round(safe_ratio("pct_of_value", "pct_of_entities"), 2))
@@ -434,7 +441,7 @@ def segment(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], featur
             min_rows: int = 0, seed: int = 42, **sweep_args) -> dict[str, DataFrame]:
     """The whole path: entities, scaling, sweep, verdict and, unless there is no
     structure, labels, profile and findings."""
-    entities = write_once(to_entities(df, by, metrics, min_rows).withColumn("entity", F.concat_ws(" | ", *by)), "entities")
+    entities = write_once(to_entities(df, by, metrics, min_rows).withColumn("entity", entity_name(by)), "entities")
     scaled = standardize(entities, features)
     z = [f"{f}_z" for f in features]
     sweep = sweep_k(scaled, z, "entity", seed=seed, **sweep_args).persist()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import safe_ratio
-from ..session import cut_lineage
+from ..session import cut_lineage, write_once
 
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
@@ -77,6 +77,7 @@ def surrogate_key(df: DataFrame, order: Sequence[str | Column], name: str) -> Da
 def share_of_all(df: DataFrame, metric: str, out: str = "share_pct", scale: float = 100) -> DataFrame:
     """Add each row's share of the whole. The total is a scalar subquery: one
     aggregated row, no window over everything."""
+    df = write_once(df, "shares")  # read twice: what led to it is not computed again for the total
     total = df.agg(F.sum(metric).cast("double").alias("t")).scalar()
     return df.withColumn(out, safe_ratio(metric, total, scale))
 
@@ -86,7 +87,8 @@ def add_share(df: DataFrame, value: str, within: Sequence[str] | str, out: str)
     and joined back, so a hot group is combined before it moves; rows without a
     group have no total and get NULL."""
     keys = [within] if isinstance(within, str) else list(within)
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    # written, so that the join shuffles both sides itself and adaptive execution can split a hot group
+    totals = write_once(df.groupBy(*keys).agg(F.sum(value).alias("_total")), "totals")
     return (
         df.join(totals, keys, "left")
         .withColumn(out, F.bround(safe_ratio(value, "_total", 100), 4))

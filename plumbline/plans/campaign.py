@@ -229,6 +229,8 @@ def visitor_view(x):
 
 
 # --- profiles --------------------------------------------------------------------------------------------
+_ALL_FIELDS = ("email", "jyv", "badmail", "baja", "fecha_envio", "fecha_open", "opens", "opens_virales", "fecha_click", "clicks", "clicks_virales", "links", "ips",
+               "navegadores", "plataformas")
 _ABSENT = "('','-','NULL','null','N/A','n/a','NaN')"
 CTES["melted"] = (("raw",), " UNION ALL ".join(f"SELECT {i + 1} AS position, '{c}' AS column_name, {c} AS value, {c} NOT IN {_ABSENT} AS p FROM raw" for i, c in enumerate(fixed.RAW_COLUMNS)))
 _FMTS = [("%d/%m/%Y %H:%M", r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$"), ("%d/%m/%Y", r"^\d{2}/\d{2}/\d{4}$"), ("%Y-%m-%d %H:%M:%S", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
@@ -281,13 +283,24 @@ def key_candidates(x):
 
 
 @query(sql("SELECT column_name, string_agg(value, ' ; ' ORDER BY rn) AS examples FROM (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY line_no, file_id) AS rn FROM ("
-           + " UNION ALL ".join(f"SELECT file_id, line_no, '{c}' AS column_name, {c} AS value FROM raw WHERE {c} NOT IN {_ABSENT}" for c in ("email", "ips", "navegadores"))
+           + " UNION ALL ".join(f"SELECT file_id, line_no, '{c}' AS column_name, {c} AS value FROM raw WHERE {c} NOT IN {_ABSENT}" for c in _ALL_FIELDS)
            + ")) WHERE rn <= 3 GROUP BY 1", "raw"))
 def column_examples(x):
-    out = profile.column_examples(x.raw, ["line_no", "file_id"], ["email", "ips", "navegadores"])
+    out = profile.column_examples(x.raw, ["line_no", "file_id"], list(_ALL_FIELDS))
     return out.select("column_name", F.array_join("examples", " ; ").alias("examples"))
 
 
+@query("SELECT doc_id, CAST(3 AS INT) AS fields, FALSE AS bad, CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\r\\n]', ' ', 'g') AS t FROM documents)")
+def long_quoted_fields(x):
+    """Whole documents as one quoted field of a delimited line, read back."""
+    from ..sources import files
+    plain = x.table("documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ").alias("t"))
+    line = F.concat(F.col("doc_id"), F.lit(',"'), F.replace("t", F.lit('"'), F.lit('""')), F.lit('",end'))
+    cut = plain.select("doc_id", line.alias("line")).select("doc_id", "line", files.split_fields("line").alias("f"))
+    return cut.select("doc_id", files.field_count("line").cast("int").alias("fields"), fx.bad_record_len("line", 3).alias("bad"),
+                      F.length(F.get("f", 1)).alias("chars"), F.md5(F.get("f", 1).cast("binary")).alias("digest"))
+
+
 # --- the load as a file stream --------------------------------------------------------------------------
 CTES["one_batch"] = (("work",), "SELECT *, CASE WHEN email_ok AND fecha_envio IS NOT NULL THEN row_number() OVER (PARTITION BY email, fecha_envio, "
                      "(email_ok AND fecha_envio IS NOT NULL) ORDER BY opens DESC, clicks DESC, line_no DESC) END AS rn FROM work")

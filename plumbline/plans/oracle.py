@@ -181,7 +181,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         WHEN 3 THEN 'REQUIERE_NEGOCIO' WHEN 4 THEN 'VALIDO' ELSE 'QUIZAS' END AS clasificacion,
         CASE WHEN event_id % 9 = 0 THEN 'too short' ELSE 'the evidence supports this class' END AS justificacion,
         CASE WHEN event_id % 37 = 0 THEN 1.5 ELSE CAST((event_id % 100) AS DOUBLE) / 100 END AS confianza
-        FROM events WHERE user_id % 7 = 0"""),
+        FROM events"""),
     # --- route, media, staffing -----------------------------------------------------------
     "route_raw": ((), """SELECT CAST(year(ts) AS INT) AS anio, CAST(month(ts) AS INT) AS mes, ' Origin_' || (user_id % 3) || ' ' AS origen,
         'dest_' || (event_id % 4) AS destino, CAST(hour(ts) AS INT) AS hora_compra,

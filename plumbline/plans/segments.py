@@ -70,7 +70,7 @@ def value_concentration(x):
 
 @query(sql(f"SELECT cluster, string_agg(e, ', ' ORDER BY e) AS examples FROM (SELECT {_SEG} AS cluster, brand || ' | ' || geokey AS e, row_number() OVER (PARTITION BY {_SEG} ORDER BY brand || ' | ' || geokey) AS rn FROM entities) WHERE rn <= 4 GROUP BY 1", "entities"))
 def segment_examples(x):
-    return s.segment_examples(_labelled(x).withColumn("entity", F.concat_ws(" | ", "brand", "geokey")), "entity")
+    return s.segment_examples(_labelled(x).withColumn("entity", s.entity_name(["brand", "geokey"])), "entity")
 
 
 @query("WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS c, "
@@ -80,19 +80,23 @@ def adjusted_rand_of_flags(x):
     return s.adjusted_rand(x.table("lineitem"), "l_returnflag", "l_linestatus")
 
 
+#: Components of the vectors of the given table.
+DIMS = 64
+
+
 def _vectors(x):
-    dims = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)]
-    return x.table("embeddings").select("vec_id", "label", *dims), [f"x{i}" for i in range(8)]
+    dims = [F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMS)]
+    return x.table("embeddings").select("vec_id", "label", *dims), [f"x{i}" for i in range(DIMS)]
 
 
-_SIL = ("WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[])[1:8] AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS t FROM p a, p b GROUP BY ALL), "
+_SIL = ("WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS t FROM p a, p b GROUP BY ALL), "
         "z AS (SELECT label AS other, count(*) AS n FROM p GROUP BY 1), q AS (SELECT vec_id, label, max(CASE WHEN other = label THEN n END) AS own, max(CASE WHEN other = label AND n > 1 THEN t / (n - 1) END) AS a, "
         "min(CASE WHEN other <> label THEN t / n END) AS b FROM d JOIN z USING (other) GROUP BY ALL), s AS (SELECT vec_id, label, CASE WHEN own <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM q) ")
 
 
 @query(_SIL + "SELECT count(*) AS n, " + r("avg(s)", 6) + " AS silhouette FROM s")
 def silhouette_of_labels(x):
-    """Exact silhouette of the given labels over the first eight dimensions."""
+    """Exact silhouette of the given labels over all dimensions."""
     rows, features = _vectors(x)
     return s.silhouette(rows, features, "label", "vec_id").select("n", fx.exact_round("silhouette", 6).alias("silhouette"))
 
@@ -106,7 +110,7 @@ def silhouette_per_point(x):
 
 @query(sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, {r(f'sum(CAST({c} AS DECIMAL(30,4)))', 4)} AS total, {r(f'min({c})', 4)} AS low, {r(f'max({c})', 4)} AS high FROM entities" for c in FEATURES), "entities"))
 def permuted_columns_keep_their_values(x):
-    rows = _entities(x).withColumn("entity", F.concat_ws(" | ", "brand", "geokey"))
+    rows = _entities(x).withColumn("entity", s.entity_name(["brand", "geokey"]))
     mixed = s.permute_columns(rows, FEATURES, "entity", seed=42)
     sums = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), fx.exact_round(F.sum(F.col(c).cast("decimal(30,4)")), 4).alias("total"),
                      fx.exact_round(F.min(c), 4).alias("low"), fx.exact_round(F.max(c), 4).alias("high")).alias(c) for c in FEATURES]
@@ -115,7 +119,7 @@ def permuted_columns_keep_their_values(x):
 
 @query()
 def sweep_of_k(x):
-    entities = write_once(_entities(x).withColumn("entity", F.concat_ws(" | ", "brand", "geokey")), "entities")
+    entities = write_once(_entities(x).withColumn("entity", s.entity_name(["brand", "geokey"])), "entities")
     rows = s.standardize(entities, FEATURES)
     return s.sweep_k(rows, [f"{f}_z" for f in FEATURES], "entity")
 

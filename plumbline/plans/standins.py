@@ -251,10 +251,10 @@ class World:
 
     @cached_property
     def rulings(self) -> DataFrame:
-        """Proposed rulings: one for every send of every seventh user, with some
+        """Proposed rulings: one for every send, with some
         that break a rule of the register."""
         i, uid = F.col("event_id"), F.col("user_id")
-        e = self.table("events").filter("user_id % 7 = 0")
+        e = self.table("events")
         run = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
         sent = F.lit("2024-01-01 08:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.floor(run / 3).cast("int") * 3)
         return e.select(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import fixed
+from ..functions import fixed, outside_quotes
 from ..operators import profile as prof
 from ..operators.etl import stage
 from ..session import write_once
@@ -88,21 +88,32 @@ def read_lines(spark: SparkSession, paths: Sequence[str] | str, full_path: bool
     return number_lines(spark.read.text(paths), full_path)
 
 
+#: Stands for a separator inside quotes; a code point that no text uses.
+MASK = "\ufdd0"
+
+
 def field_count(line: str | Column, sep: str = ",") -> Column:
     """Fields of a line; separators inside quotes do not count."""
     c = F.col(line) if isinstance(line, str) else line
-    bare = F.regexp_replace(c, r'"([^"]|"")*"', "")
+    bare = outside_quotes(c)
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
 def split_fields(line: str | Column, sep: str = ",") -> Column:
     """Fields of a line as an array of text, quotes removed. A separator counts
-    only where an even number of quotes follows."""
+    only outside quotes: the line is cut at its quotes, separators in every second piece are masked, and the
+    line is put together and cut at the separators that are left. Linear in the line."""
     c = F.col(line) if isinstance(line, str) else line
-    parts = F.split(c, rf'[{sep}](?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    quoted = r'^\s*"(.*)"\s*$'
-    return F.transform(parts, lambda p: F.when(
-        p.contains('"'), F.replace(F.regexp_replace(p, quoted, "$1"), F.lit('""'), F.lit('"'))).otherwise(p))
+    inside = F.transform(F.split(c, '"', -1), lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), F.lit(MASK))).otherwise(p))
+    parts = F.split(F.when(c.contains('"'), F.array_join(inside, '"')).otherwise(c), f"[{sep}]", -1)
+
+    def plain(p: Column) -> Column:
+        bare = F.trim(F.replace(p, F.lit(MASK), F.lit(sep)), F.lit(" \t\r\n"))
+        closed = bare.startswith('"') & bare.endswith('"') & (F.length(bare) > 1)
+        text = F.when(closed, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(F.replace(p, F.lit(MASK), F.lit(sep)))
+        return F.when(p.contains('"'), F.replace(text, F.lit('""'), F.lit('"'))).otherwise(p)
+
+    return F.transform(parts, plain)
 
 
 # --- layout --------------------------------------------------------------------------------

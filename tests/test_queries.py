@@ -1,18 +1,15 @@
-"""Registered queries against DuckDB. By default every fifth one runs here; set
-PLUMBLINE_ALL=1 for all, or run tests/compare.py."""
+"""All registered queries against DuckDB. Those of the training-data operators are in tests/llm."""
 
-import os
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from plumbline.plans import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.oracle_sql())
-if not os.environ.get("PLUMBLINE_ALL"):
-    NAMES = NAMES[::5]
+NAMES = sorted(registry.ORACLES)
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
 
 
