@@ -4,11 +4,13 @@ fit, profile and compare. "No structure" is one of the possible answers."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact_round, fixed, safe_ratio
@@ -211,12 +213,35 @@ def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int) ->
 
 
 # --- sweep and fit -----------------------------------------------------------------------------
+STARTS, MOST_ITERATIONS = 10, 300
+
+
+def _best_fits(frames: Mapping[str, DataFrame], ks: Sequence[int], starts: int, seed: int, most: int = MOST_ITERATIONS) -> dict:
+    """The cheapest of ``starts`` fits for every frame and k. Fits are independent jobs, so as many run at
+    once as there are cores; each runs to tolerance, and one that does not get there stops the work."""
+    def fit(job: tuple[str, int, int]):
+        name, k, start = job
+        model = KMeans(k=k, seed=seed + 101 * start, maxIter=most, predictionCol="cluster").fit(frames[name])
+        if model.summary.numIter >= most:
+            raise RuntimeError(f"k-means with k={k} did not converge in {most} iterations")
+        return (name, k), model.summary.trainingCost, start, model
+
+    jobs = [(name, k, start) for name in frames for k in ks for start in range(starts)]
+    spark = next(iter(frames.values())).sparkSession
+    best: dict = {}
+    with ThreadPoolExecutor(max_workers=max(2, spark.sparkContext.defaultParallelism)) as pool:
+        for run, cost, start, model in pool.map(inheritable_thread_target(spark)(fit), jobs):
+            if run not in best or (cost, start) < best[run][:2]:
+                best[run] = (cost, start, model)
+    return {run: model for run, (_, _, model) in best.items()}
+
+
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :], 0)
 
 
 def _seed_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ over a small sample of the points."""
+    """k-means++ over a sample of the points."""
     centres = sample[[rng.integers(len(sample))]]
     while len(centres) < k:
         d = _distances(sample, centres).min(1)
@@ -264,6 +289,8 @@ def _lloyd(points: DataFrame, centres: dict[tuple, np.ndarray], max_iter: int, t
     cost: dict[tuple, float] = {}
     smallest: dict[tuple, float] = {}
     for i in range(max_iter + 1):
+        if i == max_iter and active:
+            raise RuntimeError(f"{len(active)} fits did not converge in {max_iter} iterations")
         for run, rows in one_pass(active).items():
             cost[run] = sum(t["cost"] for t in rows.values())
             smallest[run] = min(t["n"] for t in rows.values())
@@ -271,7 +298,7 @@ def _lloyd(points: DataFrame, centres: dict[tuple, np.ndarray], max_iter: int, t
             for c, t in rows.items():
                 if t["n"] > 0:
                     moved[c] = [t[s] / t["n"] for s in coords]
-            if i == max_iter or np.abs(moved - centres[run]).max() < tol:
+            if np.abs(moved - centres[run]).max() < tol:
                 active.pop(run)
             else:
                 centres[run] = active[run] = moved
@@ -280,14 +307,15 @@ def _lloyd(points: DataFrame, centres: dict[tuple, np.ndarray], max_iter: int, t
     return centres, cost, smallest
 
 
-def sweep_k(df: DataFrame, features: Sequence[str], key: str, k_min: int = 2, k_max: int = 8, n_null: int = 5,
-            seed: int = 42, starts: int = 10, max_iter: int = 30) -> DataFrame:
-    """Inertia, silhouette, null silhouette, gap and smallest cluster per k.
+def sweep_models(df: DataFrame, features: Sequence[str], key: str, k_min: int = 2, k_max: int = 8, n_null: int = 5,
+                 seed: int = 42, starts: int = STARTS, seed_points: int = 50_000) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Inertia, silhouette, null silhouette, gap and smallest cluster per k, and the winning centres of each k.
 
-    ``features`` are the scaled columns. Real data and null models form one cached
-    frame; all k, nulls and starts are fitted together, one pass per iteration,
-    and one more job scores the best labelling of each. Starts are seeded by
-    k-means++ on a few hundred points chosen by hash; every fit sees all points."""
+    ``features`` are the scaled columns. Real data and null models form one cached frame; all k, nulls
+    and starts are fitted together, one pass per iteration, until every one has converged, and one more job
+    scores the best labelling of each. Starts are seeded by k-means++ on all points up to ``seed_points`` of a
+    source, beyond that on so many chosen by hash; every fit sees all points. (One library fit per source, k
+    and start costs 420 times some 25 jobs for the default sweep, several times as long.)"""
     spark = df.sparkSession
     real = cut_lineage(df.select(key, *features))
     n = check_entities(real)
@@ -300,31 +328,35 @@ def sweep_k(df: DataFrame, features: Sequence[str], key: str, k_min: int = 2, k_
     points = sources[0]
     for more in sources[1:]:
         points = points.unionByName(more)
-    # written out, so that the plan of every iteration is a plain scan, and kept in memory
-    points = cut_lineage(points.repartition("source", F.pmod(F.xxhash64("pid"), F.lit(max(1, n // 50_000))))).persist()
-
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("pid", F.lit(seed)), "pid"))
-    sample: dict[str, list] = {}
-    for row in points.withColumn("_r", rank).filter("_r <= 500").select("source", "x").collect():
-        sample.setdefault(row["source"], []).append(row["x"])
-    rng = np.random.default_rng(seed)
-    first = {(source, k, s): _seed_centres(np.array(sorted(rows)), k, rng)
-             for source, rows in sorted(sample.items()) for k in ks for s in range(starts)}
-    centres, cost, smallest = _lloyd(points, first, max_iter)
-    best = {(source, k): min(((source, k, s) for s in range(starts)), key=cost.get) for source in sample for k in ks}
-    chosen = {run: centres[run] for run in best.values()}
-
-    def label(batches):
-        for pdf in batches:
-            for source, group in pdf.groupby("source"):
-                vectors = np.stack(group["x"].to_numpy())
-                for run, c in chosen.items():
-                    if run[0] == source:
-                        yield pd.DataFrame({"run": f"{source}|{run[1]}", "pid": group["pid"], "x": group["x"],
-                                            "cluster": _distances(vectors, c).argmin(1)})
-
-    labelled = points.mapInPandas(label, "run string, pid string, x array<double>, cluster long").select(
-        "run", "pid", "cluster", *[F.col("x")[i].alias(f) for i, f in enumerate(features)])
+    # a few thousand points to a task, but no more tasks than are worth their start
+    slices = max(1, min(spark.sparkContext.defaultParallelism, n // 2_000), n // 50_000)
+    points = write_once(points.repartition("source", F.pmod(F.xxhash64("pid"), F.lit(slices))), "points").persist()
+    try:
+        rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("pid", F.lit(seed)), "pid"))
+        chosen_points = points if n <= seed_points else points.withColumn("_r", rank).filter(F.col("_r") <= seed_points)
+        sample: dict[str, list] = {}
+        for row in chosen_points.select("source", "x").collect():  # seed_points rows of a source at most
+            sample.setdefault(row["source"], []).append(row["x"])
+        rng = np.random.default_rng(seed)
+        first = {(source, k, s): _seed_centres(np.array(sorted(rows)), k, rng)
+                 for source, rows in sorted(sample.items()) for k in ks for s in range(starts)}
+        centres, cost, smallest = _lloyd(points, first, MOST_ITERATIONS)
+        best = {(source, k): min(((source, k, s) for s in range(starts)), key=cost.get) for source in sample for k in ks}
+        chosen = {run: centres[run] for run in best.values()}
+
+        def label(batches):
+            for pdf in batches:
+                for source, group in pdf.groupby("source"):
+                    vectors = np.stack(group["x"].to_numpy())
+                    for run, c in chosen.items():
+                        if run[0] == source:
+                            yield pd.DataFrame({"run": f"{source}|{run[1]}", "pid": group["pid"], "x": group["x"],
+                                                "cluster": _distances(vectors, c).argmin(1)})
+
+        labelled = write_once(points.mapInPandas(label, "run string, pid string, x array<double>, cluster long").select(
+            "run", "pid", "cluster", *[F.col("x")[i].alias(f) for i, f in enumerate(features)]), "labelled")
+    finally:
+        points.unpersist()
     scores = silhouette(labelled, features, "cluster", "pid", "run", largest=n)
     parts = F.split("run", r"\|")
     both = scores.select(parts[1].cast("int").alias("k"), parts[0].alias("source"), "silhouette").groupBy("k").agg(
@@ -332,10 +364,16 @@ def sweep_k(df: DataFrame, features: Sequence[str], key: str, k_min: int = 2, k_
         F.avg(F.when(F.col("source") != "real", F.col("silhouette"))).alias("s0"))
     facts = [(k, float(cost[best["real", k]]), 100.0 * smallest[best["real", k]] / n) for k in ks]
     sizes = spark.createDataFrame(facts, "k int, inertia double, smallest double")
-    return both.join(sizes, "k").select(
+    table = both.join(sizes, "k").select(
         "k", exact_round("inertia", 2).alias("inertia"), exact_round("s", 4).alias("silhouette"),
         exact_round("s0", 4).alias("silhouette_null"), exact_round(F.col("s") - F.col("s0"), 4).alias("gap_vs_null"),
         exact_round("smallest", 1).alias("smallest_cluster_pct"))
+    return table, {k: centres[best["real", k]] for k in ks}
+
+
+def sweep_k(df: DataFrame, features: Sequence[str], key: str, **kw) -> DataFrame:
+    """The table of ``sweep_models``."""
+    return sweep_models(df, features, key, **kw)[0]
 
 
 def structure_verdict(sweep: DataFrame) -> DataFrame:
@@ -349,17 +387,23 @@ def structure_verdict(sweep: DataFrame) -> DataFrame:
     ).withColumn("structure_found", F.col("structure") == "clara")
 
 
-def fit_segments(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, starts: int = 3, max_iter: int = 20
-                 ) -> DataFrame:
-    """Label every row with its cluster. Clusters are numbered by the first
-    feature of their centre, so that numbers mean the same on every run."""
-    frame = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df)
-    train = frame.select("features").persist()
-    fits = [KMeans(k=k, seed=seed + 101 * s, maxIter=max_iter, predictionCol="cluster").fit(train) for s in range(starts)]
-    model = min(fits, key=lambda m: m.summary.trainingCost)
-    order = sorted(range(k), key=lambda c: tuple(model.clusterCenters()[c]))
-    rank = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
-    return model.transform(frame).withColumn("cluster", rank[F.col("cluster")]).drop("features")
+def label_segments(df: DataFrame, features: Sequence[str], centres: Sequence[Sequence[float]]) -> DataFrame:
+    """Every row with the nearest of ``centres``. Clusters are numbered by the first feature of their
+    centre, so that numbers mean the same on every run."""
+    ordered = sorted(tuple(map(float, c)) for c in centres)
+    gap = [sum(((F.col(f).cast("double") - F.lit(v)) ** 2 for f, v in zip(features, c)), F.lit(0.0)) for c in ordered]
+    near = F.array(*gap)
+    return df.withColumn("cluster", (F.array_position(near, F.array_min(near)) - 1).cast("int"))
+
+
+def fit_segments(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, starts: int = STARTS) -> DataFrame:
+    """The best of ``starts`` fits with k clusters, as labels."""
+    train = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df).select("features").persist()
+    try:
+        model = _best_fits({"": train}, [k], starts, seed)["", k]
+    finally:
+        train.unpersist()
+    return label_segments(df, features, model.clusterCenters())
 
 
 # --- profile -------------------------------------------------------------------------------------
@@ -444,13 +488,14 @@ def segment(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], featur
     entities = write_once(to_entities(df, by, metrics, min_rows).withColumn("entity", entity_name(by)), "entities")
     scaled = standardize(entities, features)
     z = [f"{f}_z" for f in features]
-    sweep = sweep_k(scaled, z, "entity", seed=seed, **sweep_args).persist()
+    sweep, models = sweep_models(scaled, z, "entity", seed=seed, **sweep_args)
+    sweep = write_once(sweep, "sweep")
     verdict = structure_verdict(sweep)
     out = {"entities": entities, "sweep": sweep, "verdict": verdict}
     best = verdict.first()
     if best["structure"] == "ninguna":
         return out
     check_k(best["best_k"], scaled.count(), sweep)
-    labelled = fit_segments(scaled, z, best["best_k"], seed)
+    labelled = label_segments(scaled, z, models[best["best_k"]])
     profile = profile_segments(labelled, features, "entity", value)
     return {**out, "labelled": labelled, **profile, "findings": findings(verdict, profile["concentration"])}

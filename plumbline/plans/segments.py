@@ -117,11 +117,33 @@ def permuted_columns_keep_their_values(x):
     return mixed.agg(*sums).select(F.explode(F.array(*FEATURES)).alias("s")).select("s.*")
 
 
-@query()
+PLANTED = ["p_revenue", "p_margin", "p_products"]
+CTES["planted"] = (("entities",), "SELECT *, geokey % 3 AS g, productkey_nunique % 3 AS h, revenue_usd_sum / max(revenue_usd_sum) OVER () + 10 * (geokey % 3) AS p_revenue, "
+                   "margin_pct_mean / max(margin_pct_mean) OVER () + 10 * (geokey % 3) AS p_margin, CAST(productkey_nunique AS DOUBLE) / max(productkey_nunique) OVER () + 10 * ((geokey + 1) % 3) AS p_products FROM entities")
+CTES["planted_z"] = (("planted",), "SELECT g, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in PLANTED) + " FROM planted")
+_INERTIA = " + ".join(f"var_pop({c}) * count(*)" for c in PLANTED)
+
+
+def _planted(x):
+    """Real entities, moved apart by group: three groups that any good fit must find."""
+    rows = write_once(_entities(x).withColumn("entity", s.entity_name(["brand", "geokey"])), "planted")
+    most = rows.agg(*[F.max(c).cast("double").alias(c) for c in FEATURES]).first()  # three numbers
+    g = F.col("geokey")
+    move = [g % 3, g % 3, (g + 1) % 3]
+    return rows.withColumns({p: F.col(c).cast("double") / F.lit(most[c]) + 10 * m for p, c, m in zip(PLANTED, FEATURES, move)})
+
+
+def _planted_sweep(x):
+    rows = s.standardize(_planted(x), PLANTED)
+    return s.sweep_k(rows, [f"{f}_z" for f in PLANTED], "entity")
+
+
+@query(sql("SELECT CAST(7 AS BIGINT) AS ks, CAST(3 AS INT) AS k, " + r("sum(i)", 2) + " AS inertia, " + r("100.0 * CAST(min(n) AS DOUBLE) / sum(n)", 1) + f" AS smallest_cluster_pct FROM (SELECT {_INERTIA} AS i, count(*) AS n FROM planted_z GROUP BY g)", "planted_z"))
 def sweep_of_k(x):
-    entities = write_once(_entities(x).withColumn("entity", s.entity_name(["brand", "geokey"])), "entities")
-    rows = s.standardize(entities, FEATURES)
-    return s.sweep_k(rows, [f"{f}_z" for f in FEATURES], "entity")
+    """All k, null models and starts are fitted; what is shown is the k of the best silhouette, which must be the planted one."""
+    sweep = write_once(_planted_sweep(x), "sweep")
+    best = sweep.agg(F.count(F.lit(1)).alias("ks"), F.max_by(F.struct("k", "inertia", "smallest_cluster_pct"), "silhouette").alias("b"))
+    return best.select("ks", "b.*")
 
 
 _BUCKETS = "SELECT CAST(label + 2 AS INT) AS k, " + r("avg(CAST(embedding[1] AS DOUBLE)) + 0.5", 4) + " AS silhouette, " + r("avg(CAST(embedding[2] AS DOUBLE)) + 0.05", 4) + " AS gap_vs_null FROM embeddings GROUP BY 1"
@@ -136,21 +158,26 @@ def structure_verdict(x):
     return s.structure_verdict(e.agg(mean(0, 0.5).alias("silhouette"), mean(1, 0.05).alias("gap_vs_null")))
 
 
-@query()
+@query(sql("SELECT CAST(g AS INT) AS cluster, count(*) AS n FROM planted GROUP BY g", "planted"))
 def fitted_segments(x):
-    rows = s.standardize(_entities(x), FEATURES)
-    return s.fit_segments(rows, [f"{f}_z" for f in FEATURES], 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    rows = s.standardize(_planted(x), PLANTED)
+    return s.fit_segments(rows, [f"{f}_z" for f in PLANTED], 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("SELECT cluster, pe AS pct_of_entities, pv AS pct_of_value, " + r("pv / pe", 2) + " AS concentration_ratio, 'clara' AS structure, CAST(3 AS INT) AS chosen_k, CASE WHEN " + r("pv / pe", 2)
            + " >= 1.6 THEN 'value engine' WHEN " + r("pv / pe", 2) + " <= 0.6 THEN 'long tail' ELSE 'middle block' END || ' (c' || cluster || ')' AS segment, '' AS caveat FROM concentrated", "concentrated"))
 def named_segments(x):
-    verdict = _labelled(x).agg(F.lit("clara").alias("structure"), F.countDistinct("cluster").cast("int").alias("best_k"))
-    return s.findings(verdict, value_concentration(x))
+    """The verdict is that of a sweep over the planted groups."""
+    return s.findings(s.structure_verdict(_planted_sweep(x)), value_concentration(x))
+
 
+_ARI = ("WITH c AS (SELECT g AS a, h AS b, count(*) AS n FROM planted GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS c, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS a, "
+        "(SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS b, (SELECT sum(n) FROM c) AS n) ")
 
-@query()
+
+@query(sql("SELECT 'scaled' AS fit, CAST(1 AS DOUBLE) AS adjusted_rand UNION ALL SELECT 'raw', adjusted_rand FROM (" + _ARI + "SELECT " + r("(c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2))", 6)
+           + " AS adjusted_rand FROM s)", "planted"))
 def scaled_and_raw_fits(x):
-    rows, features = _vectors(x)
-    wide = rows.withColumn("x0", F.col("x0") * 1000)
-    return s.scaling_effect(wide, features, "label", 10)
+    """A fourth feature of large numbers follows another grouping: it rules the raw fit and is outvoted in the scaled one."""
+    rows = _planted(x).withColumns({"g": F.col("geokey") % 3, "trap": (F.col("productkey_nunique") % 3) * 1e6 + F.col("p_revenue") / 100})
+    return s.scaling_effect(rows, [*PLANTED, "trap"], "g", 3)

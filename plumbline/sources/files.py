@@ -188,15 +188,22 @@ def guess_delimiter(spark: SparkSession, path: str, lines: int = 50) -> DataFram
 
 
 def line_endings(spark: SparkSession, path: str) -> DataFrame:
-    """Line ends, quoting, the risk of both together, and the encoding."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", "ISO-8859-1")  # one character per byte
-    n = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), n("\r\n").alias("crlf"),
-        (n("\r") - n("\r\n")).alias("cr"), (n("\n") - n("\r\n")).alias("lf"), text.contains('"').alias("quoted"),
-        (text.contains("\r\n") & text.contains('"')).alias("crlf_quote_risk"),
-        F.when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8").otherwise("latin-1").alias("encoding"))
+    """Line ends, quoting, the risk of both together, and the encoding. Files are read in splits at line feeds, so their size does not matter."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))
+    size = F.octet_length("value")
+    returns = size - F.octet_length(F.replace("value", F.lit("\r"), F.lit("")))
+    per_file = lines.groupBy("path", "bytes").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(size + 1).alias("_read"), F.count_if(F.col("value").endswith("\r")).alias("_ends"), F.sum(returns).alias("_cr"),
+        F.max_by(F.col("value").endswith("\r"), "_at").alias("_last"), F.bool_or(F.col("value").contains('"')).alias("quoted"), F.bool_and(F.is_valid_utf8("value")).alias("_utf8"))
+    # what follows the last line feed is not a line of its own if it is empty; else it has no line end
+    open_end = F.col("_read") > F.col("bytes")
+    crlf = F.col("_ends") - F.when(open_end & F.col("_last"), 1).otherwise(0)
+    counted = per_file.withColumns({"crlf": crlf, "lf": F.col("_n") - open_end.cast("int") - crlf, "cr": F.col("_cr") - crlf})
+    return counted.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "crlf", "cr", "lf", "quoted", ((F.col("crlf") > 0) & F.col("quoted")).alias("crlf_quote_risk"),
+        F.when(F.col("_utf8"), "utf-8").otherwise("latin-1").alias("encoding"))
 
 
 def profile_file(spark: SparkSession, path: str, sample: int | None = None) -> dict[str, DataFrame]:

@@ -16,7 +16,7 @@ import duckdb
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-LIMIT = 40
+LIMIT = 120
 
 
 def _too_long(*_):
