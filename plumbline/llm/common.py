@@ -24,7 +24,8 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Makes Spark send this package to the Python workers, once per application, so that it need not be
-    installed on the executors."""
+    installed on the executors; and makes Arrow batches small, as a text can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]

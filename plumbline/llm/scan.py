@@ -12,7 +12,7 @@ import xxhash
 #: Words are hashed in blocks of so many bytes; a longer word is hashed alone.
 BLOCK = 1 << 20
 #: Batches are cut into slices of about so many bytes of text, at least one text each.
-SLICE = 4 << 20
+SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 5
 
 

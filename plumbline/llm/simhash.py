@@ -23,10 +23,10 @@ from .components import connected_components
 from .scan import SPACED, Words, slices
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
-#: A task makes about so many values at a time.
-VALUES = 4_000_000
+#: About so many values meet in a slot; so many are made at a time.
+SLOT_VALUES, VALUES = 4_000_000, 1_000_000
 #: Shingles whose bits are counted at a time.
-COUNTED = 1 << 19
+COUNTED = 1 << 18
 
 
 def shingle_hashes(found: Words, k: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2 or not 0 < radius <= 4:
         raise ValueError("the radius must be 2 or 4: both halves of the ball are equal")
     n = distinct.count()
-    bits = min(32, max(8, (n * 2081 // VALUES).bit_length()))
+    bits = min(32, max(8, (n * 2081 // SLOT_VALUES).bit_length()))
     masks = balls(bits, radius // 2)
     slot = F.lit(0).cast("bigint")
     for shift in range(0, 64, bits):

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from .scan import PIECES, Table, Words, slices
 
 #: When a Python worker remembers more pieces or words than this, it starts afresh with the proven ones.
-REMEMBERED = 1_500_000
-WORDS_REMEMBERED = 150_000
+REMEMBERED = 500_000
+WORDS_REMEMBERED = 100_000
 #: Pieces of these characters are normalised and cut alike here and in the tokenizer; any other piece is left to it whole.
 PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
 #: The cut of the vocabulary's own file.
@@ -44,6 +44,11 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """Room for n values, doubled as needed."""
+    return a if n <= len(a) else np.concatenate((a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)))
+
+
 class Pieces:
     """Ids of white-space separated pieces, as the tokenizer gives them for whole texts."""
 
@@ -61,7 +66,8 @@ class Pieces:
 
     def fresh(self) -> None:
         self.words: dict[str, bytes] = dict(self.whole)
-        self.table, self.pool, self.start, self.count = Table(16), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table, self.pool, self.start, self.count = Table(16), np.empty(1 << 16, np.uint32), np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64)
+        self.known = self.filled = 0
         names = pa.array(list(self.whole), pa.string())
         found = Words(names, PIECES)
         alone = np.flatnonzero(found.n == 1)
@@ -70,10 +76,11 @@ class Pieces:
     def learn(self, h: np.ndarray, ids: list[bytes]) -> None:
         """Appends new pieces to the pool of ids."""
         n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = len(self.pool) + np.cumsum(n) - n
-        self.table.add(h, np.arange(len(self.start), len(self.start) + len(ids), dtype=np.int32))
-        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), "<u4")))
-        self.start, self.count = np.concatenate((self.start, begin)), np.concatenate((self.count, n))
+        flat, a, b = np.frombuffer(b"".join(ids), "<u4"), self.known, self.filled
+        self.known, self.filled = a + len(ids), b + len(flat)
+        self.table.add(h, np.arange(a, self.known, dtype=np.int32))
+        self.pool, self.start, self.count = grown(self.pool, self.filled), grown(self.start, self.known), grown(self.count, self.known)
+        self.pool[b:self.filled], self.start[a:self.known], self.count[a:self.known] = flat, b + np.cumsum(n) - n, n
 
     def proven(self) -> dict[str, bytes]:
         """Vocabulary strings that alone become exactly their own id."""
@@ -136,7 +143,7 @@ class Pieces:
     def lookup(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For the pieces of all texts in order, their place among the remembered ones; and the
         index of each text's first piece. New pieces of the column are merged once each."""
-        if len(self.start) > self.remembered:
+        if self.known > self.remembered:
             self.fresh()
         found = Words(column, PIECES)
         h = found.hashes()
