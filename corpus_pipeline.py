@@ -37,7 +37,7 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets; all documents stay."""
     words = secret_scan.dictionary(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "benchmark"))
-    found = secret_scan.scan(docs, words, secret_scan.labelled_findings(docs, "source"), "source")
+    found = secret_scan.scan(docs, words, path="source")
     return secret_scan.redacted(docs, found)
 
 

@@ -38,7 +38,7 @@ def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     words = secret_scan.dictionary(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "benchmark"))
-    return secret_scan.digest(secret_scan.scan(docs, words, secret_scan.labelled_findings(docs, "source"), "source"))
+    return secret_scan.digest(secret_scan.scan(docs, words, path="source"))
 
 
 def op7_byte_network_language(spark: SparkSession, sf_dir: str) -> DataFrame:

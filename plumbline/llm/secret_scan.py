@@ -100,10 +100,9 @@ def judged(found: DataFrame, dictionary: DataFrame, model: PipelineModel | None,
     return scored.select(*keep, "score", (F.col("score") >= cut).alias("secret"))
 
 
-def labelled_findings(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Labelled findings from the documents themselves. True: candidates of a strict known form. False: numbers alone, and decoys put in
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """Labelled findings from candidates themselves. True: candidates of a strict known form. False: numbers alone, and decoys put in
     the place of true ones (the same surroundings, but a value of words beside it, of one repeated character, or a placeholder)."""
-    found = candidates(docs, path)
     strict = (F.col("value").rlike("^AKIA[0-9A-Z]{16}$") | (F.col("found").rlike(f"^{NAME}") & F.col("value").rlike("^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}$")))
     dull = F.col("value").rlike(r"^[0-9/_=+-]*$|^\p{L}*$")
     real = found.where(strict).withColumn("label", F.lit(1))
@@ -124,16 +123,18 @@ def dictionary(*texts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def scan(docs: DataFrame, words: DataFrame, labelled: DataFrame, path: str | None = None, cut: float = CUT) -> DataFrame:
+def scan(docs: DataFrame, words: DataFrame, labelled: DataFrame | None = None, path: str | None = None, cut: float = CUT) -> DataFrame:
     """(doc_id, text_key, place, found, value, score, secret) for every candidate of every row of ``docs``; place counts from 0.
+    Without ``labelled`` findings, those of ``labelled_findings`` are used. The texts are read once.
 
     A null or empty text has no candidate; repeated rows are scanned each; a null doc_id stays;
     very long texts are read whole; other columns are not read. If the labelled findings lack a label,
     every candidate counts as a secret.
     """
     words = write_once(words, "dictionary")
-    model = train(labelled, words)
-    return judged(candidates(docs, path), words, model, cut)
+    found = write_once(candidates(docs, path), "found")
+    model = train(labelled_findings(found) if labelled is None else labelled, words)
+    return judged(found, words, model, cut)
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:

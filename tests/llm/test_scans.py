@@ -108,7 +108,7 @@ def leaks():
 def test_secrets_and_false_positives(spark):
     known, fresh = leaks()[:100], leaks()[100:] + [(9000, "password=banana-split-recipe " + prose(3, 9)), (9001, "token = aaaaaaaaaaaaaaaaaaaaaaaa"), (9002, "my password: your-example-key-here")]
     wordlist = spark.createDataFrame([("banana",), ("split",), ("recipe",)] + [(w,) for w in set(prose(3, 300).split())], "word string")
-    findings = secret_scan.labelled_findings(frame(spark, known))
+    findings = secret_scan.labelled_findings(secret_scan.candidates(frame(spark, known)))
     found = secret_scan.scan(frame(spark, fresh), wordlist, findings).collect()
     told = {r.doc_id: r.secret for r in found}
     assert all(told[i] == (i < 4000) for i in told) and set(told) == {i for i, _ in fresh}
@@ -122,9 +122,9 @@ def test_candidates_in_odd_texts(spark):
     rows = ODD + [(50, "a1" * 200_000), (51, "password=" + "q" * 100_000), (52, "pwd:hunter2hunter2,token='abcdef0123'"), (52, "pwd:hunter2hunter2,token='abcdef0123'")]
     got = sorted(((r.doc_id, r.place, len(r.value)) for r in secret_scan.candidates(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(50, 0, 400_000), (51, 0, 100_000)] + 2 * [(52, 0, 14), (52, 1, 10)], key=str)
-    none = secret_scan.scan(frame(spark, []), spark.createDataFrame([], "word string"), secret_scan.labelled_findings(frame(spark, [])))
+    none = secret_scan.scan(frame(spark, []), spark.createDataFrame([], "word string"), secret_scan.labelled_findings(secret_scan.candidates(frame(spark, []))))
     assert none.collect() == []
-    all_count = secret_scan.scan(frame(spark, rows), spark.createDataFrame([("a",)], "word string"), secret_scan.labelled_findings(frame(spark, [])))
+    all_count = secret_scan.scan(frame(spark, rows), spark.createDataFrame([("a",)], "word string"), secret_scan.labelled_findings(secret_scan.candidates(frame(spark, []))))
     assert all(r.secret for r in all_count.collect())
 
 
