@@ -137,14 +137,16 @@ def cut(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, texts: int = TEXTS) -> DataFrame:
     """(lang, piece): windows at even distances of a bounded number of labelled texts. A hash of the text picks about twice as many
-    texts of each language as are wanted, equal ones fall together, and of the rest the first by hash stay, so little is shuffled
-    and no language fills a task."""
+    distinct texts of each language as are wanted (all, if there are no more), equal ones fall together, and of the rest the first by
+    hash stay, so little is shuffled and no language fills a task."""
     size, whole = F.length("text"), 1 << 31
     pieces = F.array(*[F.substring(F.col("text"), F.greatest(F.lit(1), ((size - WINDOW) * i / (PER_TEXT - 1)).cast("int") + 1), F.lit(WINDOW)) for i in range(PER_TEXT)])
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h"), "text")
-    # written, so that its size is known before the join and the texts are not shuffled for it
-    counts = write_once(some.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
-    few = some.join(counts, "lang").where(F.pmod("h", F.lit(whole)) / whole * F.col("n") < 2 * per_language).where(F.col("text").rlike(r"\p{L}"))
+    letter = F.col("text").rlike(r"\p{L}")
+    # of distinct texts, as the hash picks these; written, so that its size is known before the join and the texts are not shuffled for it
+    distinct = some.where(letter).select("lang", "h").dropDuplicates(["lang", "h"])
+    counts = write_once(distinct.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    few = some.join(counts, "lang").where(F.pmod("h", F.lit(whole)) / whole * F.col("n") < 2 * per_language).where(letter)
     # a text of few characters gives one piece
     few = few.select("lang", "h", F.array_distinct(pieces).alias("piece")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)

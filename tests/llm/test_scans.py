@@ -71,6 +71,17 @@ def test_language_held_out_accuracy(spark):
     assert none is None and {r.lang_pred for r in language.identify(rows, none).collect()} == {"und"}
 
 
+def test_copies_and_texts_without_letters_do_not_crowd_out_training_texts(spark):
+    copied = spark.range(30_000).select(F.lit("aa").alias("lang"), F.concat(F.lit("ka te ri mo "), (F.col("id") % 3).cast("string")).alias("text"))
+    digits = spark.range(30_000).select(F.lit("bb").alias("lang"), F.col("id").cast("string").alias("text"))
+    few = spark.range(4).select(F.lit("bb").alias("lang"), F.concat(F.lit("bei der "), F.col("id").cast("string")).alias("text"))
+    many = spark.range(30_000).select(F.lit("cc").alias("lang"), F.concat(F.lit("que les "), F.col("id").cast("string")).alias("text"))
+    docs = copied.union(digits).union(few).union(many)
+    got = {r["lang"]: r["n"] for r in language.sample(docs, 20).groupBy("lang").agg(F.countDistinct("piece").alias("n")).collect()}
+    assert got == {"aa": 3, "bb": 4, "cc": 20}
+    assert language.learn(docs, 20).labels == ["aa", "bb", "cc"]
+
+
 def test_windows_cover_every_byte():
     import pyarrow as pa
 
