@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, language, packing, secret_scan, simhash, tokens
+from plumbline.llm import decontaminate, language, packing, secret_scan, similar, tokens
 from plumbline.llm.common import table
 from plumbline.session import scratch
 
@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group stays: of fingerprints within four bits, or of texts with a five-word similarity of 0.8."""
+    return similar.one_of_each(docs)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

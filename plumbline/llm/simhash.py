@@ -174,7 +174,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one whose doc_id names the group
     (of repeated rows with that doc_id, one). All columns stay."""
-    found = near_duplicates(docs, radius)
+    return one_of_groups(docs, near_duplicates(docs, radius))
+
+
+def one_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each group in ``found`` (doc_id, text_key, root, component_id)."""
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root") \
         .agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
     keep = write_once(keep.select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")), "kept")

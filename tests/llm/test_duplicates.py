@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from llm.common import ODD, frame, groups, prose
-from plumbline.llm import components, decontaminate, simhash, vectors
+from plumbline.llm import components, decontaminate, similar, simhash, vectors
 from plumbline.llm.common import words
 
 
@@ -73,6 +73,42 @@ def test_one_of_each_keeps_columns_and_clean_rows(spark):
     assert simhash.one_of_each(frame(spark, [])).count() == 0
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def edited(seed, n, changed):
+    w, rng = prose(seed, n).split(), random.Random(changed)
+    for i in rng.sample(range(n), changed):
+        w[i] = f"edit{rng.random()}"
+    return " ".join(w)
+
+
+def test_pipeline_removes_copies_at_a_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+
+    rows = [r for r in ODD if r[1] is None or len(r[1]) < 10_000] + near_copies()
+    rows += [(1000 + 10 * g + c, edited(3000 + g, 200, c)) for g in range(25) for c in range(8)] + [(5000, "one two THREE"), (5001, "one two three"), (5002, "one two")]
+    rows = [(i, t) for i, t in rows if i is not None]
+    s, f = [shingles(t) for _, t in rows], np.array([fingerprint(t) for _, t in rows], np.uint64)
+    jaccard = [(i, j) for i in range(len(rows)) for j in range(i) if s[i] and s[j] and 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
+    near = list(zip(*np.nonzero(np.bitwise_count(f[:, None] ^ f) <= 4)))
+    want, fingerprints_only = groups(len(rows), near + jaccard), groups(len(rows), near)
+    assert len(set(want)) < len(set(fingerprints_only)) - 25
+    df = frame(spark, rows)
+    kept = corpus_pipeline.remove_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(rows[i][0] for i in range(len(rows)) if want[i] == g) for g in set(want))
+    assert corpus_pipeline.remove_near_duplicates(spark, frame(spark, []), "").count() == 0
+
+
+def test_bands_meet_at_four_fifths():
+    h = np.random.default_rng(1).integers(0, 1 << 63, (2000, 180), dtype=np.uint64) * np.uint64(2)
+    a, b = similar.bands_of(h[:, :162].ravel(), np.full(2000, 162)), similar.bands_of(h[:, 18:].ravel(), np.full(2000, 162))
+    assert (a == b).any(1).mean() > 0.995
+
+
 def test_components_of_paths_stars_and_loops(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(7, 7), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
