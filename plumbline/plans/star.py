@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import kpi, model, profile, quality as q, windows as w
-from ..session import scratch
+from ..session import scratch, write_once
 from ..sources import tables
 from .oracle import r, sql
 from .registry import query
@@ -252,6 +252,28 @@ def audit_report(x):
     return q.audit(fact, "transactionid", dims, {n: F.expr(_RANGES[n]) for n in ("negative_revenue", "zero_or_neg_quantity", "low_margin")})
 
 
+_STAR = {"product": ("productkey", "productkey % 10 <> 0"), "geography": ("geokey", "geokey <> 3"), "channel": ("channelkey", "channelkey <> 4"),
+         "segment": ("segmentkey", "segmentkey <> ascii('B')"), "dates": ("date", "day(date) <> 13")}
+_FACT_COLS = ("transactionid", "date", "productkey", "geokey", "channelkey", "segmentkey", "quantity", "revenue_usd", "cogs_usd", "discount_pct", "unitprice_usd",
+              "currency", "suppkey", "shipdate", "margin_usd", "margin_pct", "year", "month", "quarter")
+
+
+@query(sql("SELECT *, CASE WHEN \"check\" = 'row_count' THEN 'INFO' WHEN value = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ("
+       + " UNION ALL ".join(
+           ["SELECT 'row_count' AS \"check\", 'fact' AS scope, count(*) AS value FROM fact", "SELECT 'duplicate', 'fact', count(*) - count(DISTINCT transactionid) FROM fact"]
+           + [f"SELECT 'row_count', '{n}', count(*) FROM {n} WHERE {c}" for n, (_, c) in _STAR.items()]
+           + [f"SELECT 'duplicate', '{n}', count(*) - count(DISTINCT {k}) FROM {n} WHERE {c}" for n, (k, c) in _STAR.items()]
+           + [f"SELECT 'nulls', '{c}', count(*) FILTER (WHERE {c} IS NULL) FROM fact" for c in _FACT_COLS]
+           + [f"SELECT 'orphan', 'orphan {k}', count(*) FROM fact LEFT JOIN (SELECT DISTINCT {k}, true AS known FROM {n} WHERE {c}) d USING ({k}) WHERE known IS NULL" for n, (k, c) in _STAR.items()]
+           + [f"SELECT 'range', '{n}', count(*) FILTER (WHERE {c}) FROM fact" for n, c in _RANGES.items()])
+       + ")", "fact", *_STAR))
+def audit_of_the_whole_star(x):
+    """Every column of the fact, all five dimensions and all range rules. Some members are left out of each dimension on purpose, else
+    there would be no orphans. The fact is read by many checks, so it is written once."""
+    dims = {n: (getattr(x, n).filter(c), k, k) for n, (k, c) in _STAR.items()}
+    return q.audit(write_once(x.fact, "audited"), "transactionid", dims, {n: F.expr(c) for n, c in _RANGES.items()})
+
+
 # --- cleaning ---------------------------------------------------------------------------------
 _CLEAN = "transactionid, date, productkey, CAST(revenue_usd AS DOUBLE) AS revenue_usd, margin_pct, margin_tier, revenue_bucket"
 

@@ -67,3 +67,16 @@ def test_hot_keys_are_joined_whole(spark):
     assert quality.repeated_entities(rows, "k").count() == 18_000
     parents = spark.createDataFrame([("hot",), ("hot",)], "k string")
     assert quality.missing_parent(rows, parents, ["k"]).count() == 2_000 and quality.split_by_existence(rows, parents, ["k"]).count() == 20_000
+
+
+def test_whole_audit_leaves_no_column_dimension_or_rule_out(spark):
+    import __spark_entry__ as entry
+    from plumbline.plans import star
+    from plumbline.plans.standins import World
+
+    found = {(r["check"], r.scope): r.value for r in entry.queries()["audit_of_the_whole_star"](spark, "/root/testdata/sf0.001").collect()}
+    scopes = lambda check: {s for c, s in found if c == check}
+    assert scopes("nulls") == set(World(spark, "/root/testdata/sf0.001").fact.columns)
+    assert scopes("row_count") == scopes("duplicate") == {"fact", "product", "geography", "channel", "segment", "dates"}
+    assert scopes("orphan") == {f"orphan {k}" for k in ("productkey", "geokey", "channelkey", "segmentkey", "date")} and all(found["orphan", s] for s in scopes("orphan"))
+    assert scopes("range") == set(star._RANGES)
