@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language, licenses, packing, revisits, secret_scan, simhash, tokens, vectors
+from . import chat, decontaminate, language, licenses, mixing, packing, prefix_trie, revisits, secret_scan, simhash, tokens, vectors, whitening
 from .common import table, words
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,10 +59,23 @@ def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_sequence_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")))
+
+
+def op13_quality_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents"), mixing.qualities(table(spark, sf_dir, "labels"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_budgeted_chat_windows, op2_cost_balanced_packing, op3_license_set_join, op4_projection_collisions, op5_revisit_resolution,
-        op6_secret_forest, op7_byte_network_language, op8_simhash_balls, op9_token_counts, op10_winnowing_decontamination)
+        op6_secret_forest, op7_byte_network_language, op8_simhash_balls, op9_token_counts, op10_winnowing_decontamination,
+        op11_qd_whitening, op12_sequence_collapse, op13_quality_sampling)
 }
 
 #: Words of op10 in SQL.
@@ -130,4 +143,36 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_sequence_collapse": r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS q FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list({'role': role, 'text': text} ORDER BY q) AS s FROM t GROUP BY c),
+h AS (SELECT c, s, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::UBIGINT), lambda a, b:
+               list_reduce([xor(a, b), 0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END), 4294967295::UBIGINT),
+             4294967295::UBIGINT) % 4 AS h FROM s),
+r AS (SELECT h.c, list_slice(coalesce(b.s, []), 1, h.h) || list_slice(h.s, h.h + 1, len(h.s)) AS s FROM h LEFT JOIN s AS b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, s, d, list_slice(s, 1, d) AS p FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, coalesce(len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')), 0) AS w,
+        coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(s) = d), '') AS ends FROM m GROUP BY d, p),
+k AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+u AS (SELECT v.conv_id, v.d AS d, unnest(range(0, v.d + 1)) AS a, p, (n_convs - 1) * w AS saved, n_children IS NULL AS leaf FROM n AS v LEFT JOIN k USING (d, p)),
+g AS (SELECT a AS d, list_slice(p, 1, a) AS p, sum(saved) AS saved_tokens, sum(leaf::INT) AS n_leaves FROM u GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, g.n_leaves::BIGINT AS n_leaves, g.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN g USING (d, p) LEFT JOIN k ON k.d = n.d AND k.p = n.p LEFT JOIN n AS up ON up.d = n.d - 1 AND up.p = list_slice(n.p, 1, n.d - 1)""",
+    "op13_quality_sampling": r"""
+WITH q AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+d AS (SELECT d.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(text, '') AS text,
+        -ln((('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(text, ''))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(quality, 1.0::DOUBLE) AS key
+      FROM documents AS d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source NULLS LAST) AS i, sum(source_size) OVER () AS t FROM s),
+l AS (SELECT *, t - coalesce(sum(3 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o),
+f AS (SELECT min(i) AS first FROM l WHERE rest * w <= 3 * source_size * open),
+e AS (SELECT rest::DOUBLE / open::DOUBLE AS share FROM l, f WHERE i = first),
+p AS (SELECT l.source, source_size, CASE WHEN i < first THEN (3 * source_size)::DOUBLE ELSE least((3 * source_size)::DOUBLE, share * w) END AS target FROM l, f, e),
+x AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+        sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+      FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, floor(target - epochs * source_size + 0.5)::BIGINT - before)))::BIGINT AS taken FROM x""",
 }
