@@ -9,8 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words are hashed in blocks of so many bytes; a longer word is hashed alone.
+#: Words are hashed in blocks of so many bytes.
 BLOCK = 1 << 20
+#: Longer words are hashed one by one: a polynomial modulo 2^64 takes some pairs of very long words for one another.
+LONG = 64
 #: Batches are cut into slices of about so many bytes of text, at least one text each.
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -84,14 +86,15 @@ class Words:
             base = int(self.start[i])
             j = int(np.searchsorted(self.end, base + BLOCK, "right"))
             if j <= i:
-                out[i] = xxhash.xxh64_intdigest(self.data[base:self.end[i]].tobytes())
-                i += 1
+                i += 1  # hashed below
                 continue
             sums = np.zeros(int(self.end[j - 1]) - base + 1, np.uint64)
             np.cumsum((self.data[base:self.end[j - 1]].astype(np.uint64) + np.uint64(1)) * POWERS[:len(sums) - 1], out=sums[1:])
             s, e = self.start[i:j] - base, self.end[i:j] - base
             out[i:j] = mixed((sums[e] - sums[s]) * INVERSES[s] + (e - s).astype(np.uint64))
             i = j
+        for i in np.flatnonzero(self.end - self.start > LONG).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.data[self.start[i]:self.end[i]].tobytes(), 1)
         return out
 
 

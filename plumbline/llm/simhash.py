@@ -47,9 +47,9 @@ def shingle_hashes(found: Words, k: int = SHINGLE, seed: int = SEED) -> tuple[np
     return np.array([digest(raw[a:b], seed) for a, b in zip(start[first].tolist(), end[last].tolist())], np.uint64), n
 
 
-def fingerprints_of(column: pa.Array) -> np.ndarray:
-    """A signed 64-bit number for each text; zero for no words."""
-    found = Words(column, SPACED)
+def fingerprints_of(column: pa.Array, found: Words | None = None) -> np.ndarray:
+    """A signed 64-bit number for each text; zero for no words. ``found``: the words of the column, if they are known."""
+    found = found or Words(column, SPACED)
     h, n = shingle_hashes(found)
     text, ones = np.repeat(np.arange(len(n)), n), np.zeros((len(n), 64), np.int64)
     for a in range(0, len(h), COUNTED):
@@ -162,7 +162,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component_id; no rows give no rows; other columns are not read. Copies meet in their fingerprint
     and are not expanded into pairs.
     """
-    marked = write_once(fingerprints(docs), "fingerprints")
+    return grouped(write_once(fingerprints(docs), "fingerprints"), radius)
+
+
+def grouped(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``near_duplicates`` of rows (doc_id, text_key, fingerprint) that are written already."""
     distinct = write_once(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fingerprint"), radius), "simhash").withColumnRenamed("node", "fingerprint")
     placed = write_once(distinct.join(roots, "fingerprint", "left").select("fingerprint", "smallest", F.coalesce("root", "fingerprint").alias("root")), "placed")

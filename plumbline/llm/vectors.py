@@ -3,9 +3,11 @@
 Every vector is projected on M random lines. For a unit vector a projection is normal, and those of
 two vectors correlate by their cosine. On each line only the vectors far out, beyond TAIL in size,
 look around themselves: sorted along the line, each takes those inside a window beside it. Far out a close pair is likely together
-and a random pair is not. Collisions are counted per pair over all lines; pairs that reach the count
-are verified in double precision. M follows from the least cosine, the tail, the window and the count, so that a pair
-just at the least cosine reaches the count with probability RECALL.
+and a random pair is not. A pair that collides on COUNT lines is verified in double precision. M follows from the least cosine, the tail,
+the window and the count, so that a pair just at the least cosine reaches the count with probability RECALL.
+
+Single collisions are not listed: a vector is far out on a few lines only, whatever their number, so it is filed under every two of them. Vectors
+that are filed together and lie in each other's window on both lines have their two collisions; of the many files of a close pair all but about the first are passed over.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from .components import connected_components
 
 LEAST, COUNT, RECALL, SEED = 0.95, 2, 0.999, 20
 #: The window reaches so many standard deviations of the difference of a pair at the least cosine.
-REACH = 4.0
-#: A vector shows on about TAIL_SHARE / sqrt(n) of all lines, which balances projecting against counting.
+REACH = 2.0
+#: A vector shows on about TAIL_SHARE / sqrt(n) of all lines, so that as many random pairs meet per vector at every n.
 TAIL_SHARE = 0.6
-#: About so many entries of sorted lines to a task, so many pairs at a time.
-ENTRIES, PAIRS = 20_000, 1 << 20
+#: About so many filed entries to a task, so many pairs at a time.
+FILED, PAIRS = 200_000, 1 << 20
+#: A file of more entries is cut into blocks of half as many, and every two blocks are compared by a task of their own.
+HOT = 4_096
+#: An entry of a file: two lines, where the vector lies on them, and the lines it is on right before each of them.
+ENTRY = np.dtype([("key", "<i8"), ("kind", "<i8"), ("at1", "<f4"), ("at2", "<f4"), ("prev1", "<i4"), ("prev2", "<i4"), ("pat1", "<f4"), ("pat2", "<f4")])
 
 
 def _above(x: np.ndarray | float) -> np.ndarray:
@@ -76,56 +82,117 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def tails(kinds: DataFrame, width: int, lines: int, tail: float, units: int) -> DataFrame:
-    """(unit, line, at, kind): where a vector lies on the lines on which it is far out. A side of a line
-    is a line of its own. Lines are dealt to ``units``."""
+def files_of(u: np.ndarray, kind: np.ndarray, random: np.ndarray, tail: float) -> np.ndarray:
+    """The entries of all vectors ``u``: every two lines on which one is far out. A side of a line is a line of its own."""
+    lines, out = len(random), []
+    step = max(1, (1 << 22) // lines)
+    for a in range(0, len(u), step):
+        p = u[a:a + step] @ random.T
+        row, line = np.nonzero(np.abs(p) >= tail)
+        p = p[row, line]
+        side, at = (2 * line + (p < 0)).astype(np.int32), np.abs(p).astype(np.float32)
+        n = np.bincount(row, minlength=min(step, len(u) - a))
+        first = np.cumsum(n) - n
+        for m in np.unique(n[n > 1]).tolist():
+            who = np.flatnonzero(n == m)
+            place = first[who][:, None] + np.arange(m)
+            s, x = side[place], at[place]
+            order = np.argsort(s, axis=1)
+            s, x = np.take_along_axis(s, order, 1), np.take_along_axis(x, order, 1)
+            i, j = np.triu_indices(m, 1)
+            e = np.empty((len(who), len(i)), ENTRY)
+            e["key"] = s[:, i].astype(np.int64) * (2 * lines) + s[:, j]
+            e["kind"] = kind[a + who][:, None]
+            e["at1"], e["at2"] = x[:, i], x[:, j]
+            e["prev1"], e["pat1"] = np.where(i > 0, s[:, i - 1], -1), x[:, i - 1]
+            e["prev2"], e["pat2"] = np.where(j > i + 1, s[:, j - 1], -1), x[:, j - 1]
+            out.append(e.ravel())
+    return np.concatenate(out) if out else np.empty(0, ENTRY)
+
+
+def filed(kinds: DataFrame, width: int, lines: int, tail: float, units: int) -> DataFrame:
+    """(unit, entries): the entries of all kinds, dealt to ``units`` by a hash of their two lines, those of a batch together."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(SEED).standard_normal((lines, width)).astype(np.float32)
+        random = np.random.default_rng(SEED).standard_normal((lines, width), dtype=np.float32)
         for batch in batches:
-            u, kind = matrix(batch.column("unit"), width).astype(np.float32), batch.column("kind").to_numpy()
-            step = max(1, (1 << 22) // lines)
-            for a in range(0, len(u), step):
-                p = u[a:a + step] @ random.T
-                row, line = np.nonzero(np.abs(p) >= tail)
-                p = p[row, line]
-                side = 2 * line + (p < 0)
-                yield pa.RecordBatch.from_arrays([pa.array((side % units).astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(np.abs(p)), pa.array(kind[a:a + step][row])],
-                                                 names=["unit", "line", "at", "kind"])
-
-    return kinds.select("kind", "unit").mapInArrow(look, "unit int, line int, at float, kind bigint")
+            e = files_of(matrix(batch.column("unit"), width).astype(np.float32), batch.column("kind").to_numpy(), random, tail)
+            unit = (e["key"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(units)
+            by = np.argsort(unit, kind="stable")
+            e, unit = e[by], unit[by]
+            edge = np.flatnonzero(np.diff(unit, prepend=np.uint64(units)))
+            offsets = np.append(edge, len(e)) * ENTRY.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array(unit[edge].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(e.tobytes())])],
+                                             names=["unit", "entries"])
+
+    return kinds.select("kind", "unit").mapInArrow(look, "unit int, entries binary")
+
+
+def met(e: np.ndarray, window: float, block: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs a < b that are filed together and within the window on both lines, a bounded number at a time. A pair that must have met in an earlier
+    file is passed over: where the lines before are the same and close, too. Its first file is never passed over. With ``block``, only entries of different blocks."""
+    by = np.lexsort((e["at1"], e["key"]))
+    e, block = e[by], None if block is None else block[by]
+    new = np.flatnonzero(np.diff(e["key"], prepend=-1))
+    end = np.repeat(np.append(new[1:], len(e)), np.diff(np.append(new, len(e))))
+    # the end of the window inside the file: files one after another on one axis
+    axis = np.cumsum(np.diff(e["key"], prepend=-1) != 0) * 64.0 + e["at1"]
+    reach = np.minimum(np.searchsorted(axis, axis + window, "right"), end) - np.arange(len(e)) - 1
+    edges = np.concatenate(([0], np.cumsum(reach)))
+    near = lambda x, y: np.abs(x - y) <= window
+    i = 0
+    while i < len(e):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + PAIRS, "right")) - 1)
+        n = reach[i:j]
+        x = np.repeat(np.arange(i, j), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        keep = near(e["at2"][x], e["at2"][y])
+        if block is not None:
+            keep &= block[x] != block[y]
+        x, y = x[keep], y[keep]
+        seen = (e["prev1"][x] >= 0) & (e["prev1"][x] == e["prev1"][y]) & near(e["pat1"][x], e["pat1"][y])
+        seen |= (e["prev2"][x] >= 0) & (e["prev2"][x] == e["prev2"][y]) & near(e["pat2"][x], e["pat2"][y])
+        a, b = e["kind"][x[~seen]], e["kind"][y[~seen]]
+        pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        yield pair[:, 0], pair[:, 1]
+        i = j
 
 
 def collisions(entries: DataFrame, window: float) -> DataFrame:
-    """(a, b, n), a < b: how often each pair lies within the window, by unit."""
-
-    def one(key: tuple, group: pa.Table) -> pa.Table:
-        line, at, kind = (group.column(c).to_numpy() for c in ("line", "at", "kind"))
-        # one axis: lines one after another, further apart than any window
-        where = line.astype(np.float64) * 64 + at
-        by = np.argsort(where, kind="stable")
-        where, kind = where[by], kind[by]
-        reach = np.searchsorted(where, where + window, "right") - np.arange(len(where)) - 1
-        edges = np.concatenate(([0], np.cumsum(reach)))
-        out_a, out_b, out_n = [], [], []
-        i = 0
-        while i < len(where):
-            j = max(i + 1, int(np.searchsorted(edges, edges[i] + PAIRS, "right")) - 1)
-            n = reach[i:j]
-            first = np.repeat(np.arange(i, j), n)
-            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-            a, b = kind[first], kind[second]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-            out_a.append(a[new])
-            out_b.append(b[new])
-            out_n.append(np.diff(np.append(new, len(a))))
-            i = j
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "n": np.concatenate(out_n).astype(np.int64)})
-
-    return entries.groupBy("unit").applyInArrow(one, "a bigint, b bigint, n bigint")
+    """(a, b), a < b: every pair that collides on two lines. Files of more than HOT entries leave their task in blocks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("entries", pa.binary())])
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), f.type) for f in list(schema)[2:])], schema=schema)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = np.frombuffer(b"".join(x for batch in batches for x in batch.column("entries").to_pylist()), ENTRY)
+        key, n = np.unique(e["key"], return_counts=True)
+        hot = key[n > HOT]
+        if len(hot):
+            is_hot = np.isin(e["key"], hot)
+            many, e = e[is_hot], e[~is_hot]
+            for k in hot.tolist():
+                some = many[many["key"] == k]
+                blocks = [some[at:at + HOT // 2].tobytes() for at in range(0, len(some), HOT // 2)]
+                for i in range(len(blocks)):
+                    for j in range(i, len(blocks)):
+                        rows = [(None, None, k, i, j, x, blocks[x]) for x in sorted({i, j})]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for a, b in met(e, window):
+            yield found(a, b)
+
+    def two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column("block").to_pylist(), batch.column("entries").to_pylist())]
+        e = np.frombuffer(b"".join(x for _, x in rows), ENTRY)
+        block = np.repeat([k for k, _ in rows], [len(x) // ENTRY.itemsize for _, x in rows])
+        for a, b in met(e, window, block if len(rows) > 1 else None):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    first = write_once(entries.groupBy("unit").applyInArrow(one, "a bigint, b bigint, key bigint, i int, j int, block int, entries binary"), "collisions")
+    pairs = first.where("key is null").select("a", "b")
+    blocks = first.where("key is not null").select("key", "i", "j", "block", "entries")
+    return pairs.union(blocks.groupBy("key", "i", "j").applyInArrow(two, "a bigint, b bigint")).distinct()
 
 
 def verified(pairs: DataFrame, kinds: DataFrame, width: int, least: float = LEAST) -> DataFrame:
@@ -156,9 +223,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     kinds = write_once(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
     n = kinds.count()
     lines, tail, window = plan(n, least)
-    entries = tails(kinds, width, lines, tail, max(64, round(n * lines * 2 * float(_above(tail)) / ENTRIES)))
-    counted = collisions(entries, window).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= COUNT).select("a", "b")
-    links = write_once(verified(counted, kinds, width, least), "links")
+    far = lines * 2 * float(_above(tail))  # lines on which a vector is far out
+    entries = filed(kinds, width, lines, tail, max(1, round(n * far * far / 2 / FILED)))
+    links = write_once(verified(collisions(entries, window), kinds, width, least), "links")
     degree = links.select(F.col("a").alias("kind"), F.col("copies_b").alias("n")).union(links.select("b", "copies_a")).groupBy("kind").agg(F.sum("n").alias("others"))
     roots = connected_components(links.select("a", "b"), "vectors").withColumnRenamed("node", "kind")
     placed = write_once(kinds.select("kind", "key", "smallest", "copies").join(degree, "kind", "left").join(roots, "kind", "left")

@@ -103,10 +103,38 @@ def test_pipeline_removes_copies_at_a_similarity_of_four_fifths(spark):
     assert corpus_pipeline.remove_near_duplicates(spark, frame(spark, []), "").count() == 0
 
 
-def test_bands_meet_at_four_fifths():
-    h = np.random.default_rng(1).integers(0, 1 << 63, (2000, 180), dtype=np.uint64) * np.uint64(2)
-    a, b = similar.bands_of(h[:, :162].ravel(), np.full(2000, 162)), similar.bands_of(h[:, 18:].ravel(), np.full(2000, 162))
-    assert (a == b).any(1).mean() > 0.995
+def test_prefixes_meet_at_four_fifths():
+    rng, none = random.Random(6), np.empty(0, np.uint64)
+    for n, frequent in ((30, none), (200, none), (200, np.sort(np.random.default_rng(2).integers(0, 1 << 63, 90).astype(np.uint64)))):
+        for _ in range(60):
+            common = [rng.getrandbits(63) for _ in range(n)] + frequent.tolist()
+            size = len(common)
+            spare = size // 4  # overlap size of size + spare different ones: just at 0.8
+            x = common + [rng.getrandbits(63) for _ in range(spare // 2)]
+            y = common + [rng.getrandbits(63) for _ in range(spare - spare // 2)]
+            h, k = similar.distinct_shingles(np.array(x + y, np.uint64), np.array([len(x), len(y)]), frequent)
+            x, y = sorted((h[:k[0]].tolist(), h[k[0]:].tolist()), key=len)
+            assert set(x[:len(x) // 9 + 1]) & set(y[:len(y) // 5 + 1])
+
+
+@pytest.mark.parametrize("share", [0.7, 0.85])
+def test_families_meet_only_if_they_are_similar(spark, share, monkeypatch):
+    """Texts of one template: below the least similarity they are not compared, above it they are one group."""
+    monkeypatch.setattr(similar, "SAMPLE", 2)
+    template, rng = prose(60, 400).split(), random.Random(9)
+    rows = []
+    for i in range(60):
+        w = list(template)
+        # an edit of one word changes five shingles of 396; two texts differ by the edits of both
+        for j in rng.sample(range(80), round((1 - share) / (1 + share) * 396 / 5)):
+            w[5 * j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    df = frame(spark, rows)
+    marked = similar.marked(df, similar.frequent_shingles(df))
+    met = similar.files(marked).count()
+    assert met == 0 if share < 0.8 else met > 0
+    by_fingerprint = len({r.root for r in simhash.near_duplicates(df).collect()})
+    assert by_fingerprint > 1 and len({r.root for r in similar.groups(df).collect()}) == (by_fingerprint if share < 0.8 else 1)
 
 
 def test_components_of_paths_stars_and_loops(spark):
@@ -141,6 +169,33 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).collect() == []
 
 
+def test_large_files_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=16) + rng.normal(size=(120, 16)) * 0.15
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id bigint, embedding array<float>")
+    was = sorted(map(tuple, vectors.near_vectors(df).collect()))
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert [r[1] for r in was] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+    monkeypatch.setattr(vectors, "HOT", 16)
+    monkeypatch.setattr(vectors, "PAIRS", 50)
+    assert sorted(map(tuple, vectors.near_vectors(df).collect())) == was
+
+
+def test_first_files_are_never_passed_over():
+    rng = np.random.default_rng(8)
+    random = rng.standard_normal((300, 8)).astype(np.float32)
+    u = rng.normal(size=(5, 8))[rng.integers(0, 5, 80)] + rng.normal(size=(80, 8)) * 0.2
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    tail, window = 1.5, 0.4
+    p = u @ random.T
+    side = np.where(np.abs(p) >= tail, np.sign(p), 0)
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if ((side[i] != 0) & (side[i] == side[j]) & (np.abs(p[i] - p[j]) <= window)).sum() >= 2}
+    e = vectors.files_of(u, np.arange(80), random, tail)
+    got = [(int(a), int(b)) for x, y in vectors.met(e, window) for a, b in zip(x, y)]
+    assert set(got) == want and len(got) < 20 * len(want)
+
+
 def test_recall_of_pairs_just_at_the_least_cosine():
     rng = np.random.default_rng(3)
     lines, tail, window = vectors.plan(50_000)

@@ -19,7 +19,7 @@ def test_queries_match_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and len(queries.QUERIES) == 10
+    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and len(queries.QUERIES) == 13
 
 
 def write(folder, documents, benchmark):

@@ -117,3 +117,18 @@ def test_costs_are_balanced():
 def test_repeated_rows_are_all_packed(spark, rows):
     got = packing.pack_documents(frame(spark, rows), PATH).collect()
     assert sum(r.length for r in got) == 500 * 4
+
+
+def test_words_that_a_polynomial_takes_for_one_another(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    for text in (a + " " + b, b + " " + a + "!", "x".join((a, b))):
+        ids = library.encode(text, add_special_tokens=False).ids
+        found = tokens.Pieces(PATH)
+        flat, at = found.flat(pa.array([text]))
+        assert flat.tolist() == ids and found.counts(pa.array([text])).tolist() == [len(ids)]
