@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns. Each span becomes one training
-text: the system turn again, a limited piece of history again, then the span's own turns. Only assistant texts of
-the span's own turns lie under the loss mask, so every target counts once.
+Turn by turn, a window is filled until the next turn would pass the budget; tokens are those of the turn as it is written, escapes, role and marks
+included. Each window is one training text: the system turn again, a limited piece of history again, then its own turns. Only assistant texts of
+its own turns lie under the loss mask, so every target counts once. Prefix sums of turn tokens cut long conversations into blocks of many budgets first, and
+each block is filled by itself, so one conversation may fill many tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .tokens import pieces
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 2048, 256
-#: Tokens of a turn besides those of its text.
-OVERHEAD = 8
+#: A block begins at every multiple of so many budgets; the window before it may stay short.
+BLOCK = 64
 KEY = ("conv_id", "turn", "role", "text")
 
 
@@ -45,30 +46,75 @@ def unescaped_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
+def written(role: Column, text: Column) -> Column:
+    """A turn as it stands in a window. It begins and ends at white space, so tokens of turns add up."""
+    return F.concat(F.lit(START), escaped_role(role), F.lit("\n"), escaped(text), F.lit(f"{END}\n"))
+
+
 def counted(turns: DataFrame, path: str) -> DataFrame:
-    """conv_id, turn, role, text (null: empty) and tokens."""
+    """conv_id, turn, role, text (null: empty) and the tokens of the turn as it is written."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = pieces(path)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(book.counts(part.column("text")) + OVERHEAD)], names=[*KEY, "tokens"])
+            for part in slices(batch, "written"):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in KEY), pa.array(book.counts(part.column("written")))], names=[*KEY, "tokens"])
 
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                         *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
+    rows = rows.withColumn("written", written(F.col("role"), F.col("text")))
     return rows.mapInArrow(count, "conv_id bigint, turn bigint, role string, text string, tokens bigint")
 
 
+WINDOW = "conv_id bigint, window bigint, text string, n_context int, n_turns int, tokens bigint, loss array<struct<start: bigint, length: bigint>>"
+
+
+class Filling:
+    """Windows of one block: turns are (place, written, tokens, start of the text, its length, under the mask)."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
+        self.system, self.recent, self.context, self.own = None, [], [], []
+
+    def remember(self, turn: tuple) -> None:
+        """The turns a window may repeat: as many of the last ones as fit the history."""
+        self.recent.append(turn)
+        while sum(t[2] for t in self.recent) > self.history:
+            self.recent.pop(0)
+
+    def before(self) -> list[tuple]:
+        """What stands before the own turns; the system turn is not repeated next to itself."""
+        shown = self.own[0][0] == 1 if self.own else False
+        return ([self.system] if self.system and not shown else []) + self.context
+
+    def add(self, turn: tuple) -> list[tuple[list[tuple], list[tuple]]]:
+        """Windows that are full before this turn."""
+        full = []
+        if self.own and sum(t[2] for t in [*self.before(), *self.own]) + turn[2] > self.budget:
+            full.append((self.before(), self.own))
+            self.own = []
+        if not self.own:
+            used = turn[2] + (self.system[2] if self.system and turn[0] != 1 else 0)
+            self.context = [t for t in self.recent if t[0] != 1 or not self.system]
+            while self.context and used + sum(t[2] for t in self.context) > self.budget:
+                self.context.pop(0)
+        self.own.append(turn)
+        self.remember(turn)
+        return full
+
+    def rest(self) -> list[tuple[list[tuple], list[tuple]]]:
+        return [(self.before(), self.own)] if self.own else []
+
+
 def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window: conv_id, window, text, n_context (leading turns repeated from before), n_turns (in all),
     tokens, loss (array of start and length in code points of ``text``).
 
-    A third of what system turn and history leave of the budget is the stride; turns belong to the span their
-    prefix sum falls in; those that begin within ``history`` tokens before a span are repeated in it. A window
-    stays within the budget as long as no turn is longer than the stride; turns are never cut. Turns of
+    A window is cut before the turn that would pass the budget; the system turn and turns of up to ``history`` tokens before it are repeated, the latter as far as there is room, so
+    only a turn too long by itself (next to the system turn) passes the budget; turns are never cut. Turns of
     one number are ordered by role and text, null numbers first; repeated rows are turns of their own;
     null roles and texts are empty; rows without conv_id are one conversation; other columns are not read.
-    A conversation of any length is spread over segments.
+    A conversation of any length is spread over segments and blocks.
     """
     rows = segmented(counted(turns, path), *KEY, name="turns")
     parts = rows.groupBy("conv_id", SEGMENT).agg(F.sum("tokens").alias("t"), F.count("*").alias("c"), F.min(F.struct("turn", "role", "text", "tokens")).alias("head"))
@@ -80,36 +126,58 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
     inside = Window.partitionBy(SEGMENT, "conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", F.sum("tokens").over(inside).alias("_t"), F.count("*").over(inside).alias("_c"))
     both = local.join(parts, local["conv_id"].eqNullSafe(parts["conv_id"]) & (local[SEGMENT] == parts[SEGMENT])).select(
-        local["conv_id"], "role", "text", "tokens", (F.col("t0") + F.col("_t") - F.col("tokens")).alias("begin"), (F.col("c0") + F.col("_c")).alias("place"),
-        F.coalesce("system.tokens", F.lit(0)).alias("system_tokens"), F.col("system").isNotNull().alias("has_system"))
-    stride = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.col("system_tokens")) / 3))
-    both = both.withColumn("stride", stride).withColumn("span", F.floor(F.col("begin") / F.col("stride")))
-    again = (F.col("begin") >= (F.col("span") + 1) * F.col("stride") - history) & ~(F.col("has_system") & (F.col("place") == 1))
-    own = F.struct(F.col("span").alias("window"), F.lit(True).alias("own"))
-    shown = both.select("conv_id", "place", "role", "text", "tokens", F.explode(F.when(again, F.array(own, F.struct((F.col("span") + 1).alias("window"), F.lit(False).alias("own")))).otherwise(F.array(own))).alias("w"))
-    part = F.struct("place", F.col("w.own").alias("own"), escaped_role(F.col("role")).alias("role"), escaped(F.col("text")).alias("text"), "tokens")
-    grouped = shown.groupBy("conv_id", F.col("w.window").alias("window")).agg(F.sort_array(F.collect_list(part)).alias("turns")).where(F.exists("turns", lambda x: x["own"]))
-    heads = parts.where("system is not null").groupBy("conv_id").agg(F.first("system").alias("system"))
-    heads = heads.select(F.col("conv_id").alias("_conv"), F.array(F.struct(F.lit(1).cast("bigint").alias("place"), F.lit(False).alias("own"), escaped_role(F.col("system.role")).alias("role"),
-                                                                           escaped(F.col("system.text")).alias("text"), F.col("system.tokens").alias("tokens"))).alias("head"))
-    full = grouped.join(heads, grouped["conv_id"].eqNullSafe(heads["_conv"]), "left")
-    turns_ = F.when(F.col("head").isNotNull() & (F.col("turns")[0]["place"] != 1), F.concat("head", "turns")).otherwise(F.col("turns"))
-    full = full.select("conv_id", "window", turns_.alias("turns"))
-    opening = lambda x: F.concat(F.lit(START), x["role"], F.lit("\n"))
-    closing = f"{END}\n"
-    empty = F.array().cast("array<struct<start: bigint, length: bigint>>")
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(opening(x))
-        mark = F.array(F.struct(begin.cast("bigint").alias("start"), F.length(x["text"]).cast("bigint").alias("length")))
-        loss = F.when(x["own"] & (x["role"] == "assistant"), F.concat(state["loss"], mark)).otherwise(state["loss"])
-        return F.struct((begin + F.length(x["text"]) + len(closing)).cast("bigint").alias("at"), loss.alias("loss"))
-
-    return full.select(
-        "conv_id", "window", F.array_join(F.transform("turns", lambda x: F.concat(opening(x), x["text"], F.lit(closing))), "").alias("text"),
-        F.size(F.filter("turns", lambda x: ~x["own"])).alias("n_context"), F.size("turns").alias("n_turns"),
-        F.aggregate("turns", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]).alias("tokens"),
-        F.aggregate("turns", F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("loss")), step)["loss"].alias("loss"))
+        local["conv_id"], "role", "text", "tokens", (F.col("t0") + F.col("_t") - F.col("tokens")).alias("begin"), (F.col("c0") + F.col("_c")).alias("place"), F.col("system").isNotNull().alias("has_system"))
+    size = BLOCK * budget
+    block = F.floor(F.col("begin") / size)
+    both = both.withColumn("block", block)
+    # turns right before the next block are shown to it
+    again = F.col("begin") >= (F.col("block") + 1) * size - history
+    own = F.struct(F.col("block").alias("block"), F.lit(1).alias("kind"))
+    shown = both.select("conv_id", "place", "role", "text", "tokens", "has_system", F.explode(F.when(again, F.array(own, F.struct((F.col("block") + 1).alias("block"), F.lit(0).alias("kind")))).otherwise(F.array(own))).alias("w"))
+    plain = shown.select("conv_id", "w.block", "w.kind", "place", "role", "text", "tokens", "has_system")
+    heads = parts.where("system is not null").groupBy("conv_id").agg(F.first("system").alias("system")).select(F.col("conv_id").alias("_conv"), "system")
+    later = plain.where("kind = 1 AND block > 0 AND has_system").select("conv_id", "block").distinct()
+    repeated = later.join(heads, later["conv_id"].eqNullSafe(heads["_conv"])).select("conv_id", "block", F.lit(-1).alias("kind"), F.lit(1).cast("bigint").alias("place"), "system.role", "system.text", "system.tokens", F.lit(True).alias("has_system"))
+    full = plain.union(repeated).select("conv_id", "block", "kind", "place", "tokens", (F.col("has_system") & (F.col("place") == 1)).alias("system"), (F.col("role") == "assistant").alias("target"),
+                                        written(F.col("role"), F.col("text")).alias("written"), (F.length(escaped_role(F.col("role"))) + len(START) + 1).alias("start"), F.length(escaped(F.col("text"))).alias("length"))
+    ordered = full.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "place")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filling, n = None, None, 0
+        for batch in batches:
+            done = []
+            for conv, block, kind, place, tokens, is_system, target, text, start, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (conv, block):
+                    if filling:
+                        done += [row(*now, n + i, *w) for i, w in enumerate(filling.rest())]
+                    now, filling, n = (conv, block), Filling(budget, history), 0
+                turn = (place, text, tokens, start, length, target)
+                if is_system:
+                    filling.system = turn
+                if kind == 0:
+                    filling.remember(turn)
+                elif kind == 1:
+                    full = filling.add(turn)
+                    done += [row(*now, n + i, *w) for i, w in enumerate(full)]
+                    n += len(full)
+            yield table(done)
+        if filling:
+            yield table([row(*now, n + i, *w) for i, w in enumerate(filling.rest())])
+
+    def row(conv: int | None, block: int, n: int, before: list[tuple], own: list[tuple]) -> tuple:
+        at, loss = sum(len(t[1]) for t in before), []
+        for t in own:
+            if t[5]:
+                loss.append({"start": at + t[3], "length": t[4]})
+            at += len(t[1])
+        return conv, block << 32 | n, "".join(t[1] for t in [*before, *own]), len(before), len(before) + len(own), sum(t[2] for t in [*before, *own]), loss
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+        names = ["conv_id", "window", "text", "n_context", "n_turns", "tokens", "loss"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    return ordered.mapInArrow(fill, WINDOW)
 
 
 def read_back(text: str) -> list[tuple[str, str]]:

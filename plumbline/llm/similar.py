@@ -5,6 +5,8 @@ shingles, two similar texts share a shingle among the first fifth of the larger
 the overlap. No pair is lost, whatever the order is. The order decides only how many others meet: frequent shingles come last, so texts
 that have passages in common, or are of one family but below 0.8, meet in few. What is frequent is read off a sample.
 
+Before two texts are compared, their bitmaps are: these tell most pairs apart that share a passage only, and never one that is similar.
+
 Pairs in one group already are not compared: members of a file are first compared with one of them, in a few rounds, and groups joined; then
 all pairs that are left are.
 """
@@ -26,9 +28,11 @@ from .simhash import fingerprints_of, grouped, one_of_groups
 SHINGLE = 5
 #: Of one text in so many, shingles that stand in at least LEAST of these texts count as frequent; at most FREQUENT of them, the most
 #: frequent ones, are sent to the tasks (8 MB). They change the order, not the result.
-SAMPLE, LEAST, FREQUENT = 64, 3, 1_000_000
+SAMPLE, LEAST, FREQUENT = 16, 3, 1_000_000
+#: Bits of the bitmap of a text: every shingle toggles one, so two texts differ in at least as many shingles as bits.
+BITS = 1024
 #: Before all pairs of a file are compared, members are compared with one of them, in so many rounds at most.
-STARS = 3
+STARS = 2
 #: About so many entries to a task of the join.
 ENTRIES = 1_000_000
 ENTRY = np.dtype([("h", "<u8"), ("text", "<i8"), ("n", "<i4"), ("at", "<i4")])
@@ -61,6 +65,13 @@ def distinct_shingles(h: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tup
     return h[new], np.bincount(text[new], minlength=len(n))
 
 
+def bitmaps(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts, BITS / 64): the bitmaps of the different shingles of every text."""
+    at = np.repeat(np.arange(len(n)), n) * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(n) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), BITS // 64)
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of frequent shingles of the sample."""
 
@@ -93,8 +104,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def marked(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, fingerprint, n, prefix) for every row: how many different shingles, and the first fifth of them (binary; null where the task had the same text before, or
-    there is none). One read of the texts for fingerprints and prefixes."""
+    """(doc_id, text_key, fingerprint, n, prefix, bits) for every row: how many different shingles, the first fifth of them (binary; empty where the task had the same text before, or
+    there is none) and their bitmap. One read of the texts for fingerprints, prefixes and bitmaps."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -110,11 +121,12 @@ def marked(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(first, n)
                 edges = np.concatenate(([0], np.cumsum(first) * 8)).astype(np.int32)
                 lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(h[keep].tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fingerprints_of(part.column("text"), found)), pa.array(n.astype(np.int32)), lists],
-                                                 names=["doc_id", "text_key", "fingerprint", "n", "prefix"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bitmaps(h, n).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fingerprints_of(part.column("text"), found)), pa.array(n.astype(np.int32)), lists, bits],
+                                                 names=["doc_id", "text_key", "fingerprint", "n", "prefix", "bits"])
 
     rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(mark, "doc_id bigint, text_key bigint, fingerprint bigint, n int, prefix binary")
+    return rows.mapInArrow(mark, "doc_id bigint, text_key bigint, fingerprint bigint, n int, prefix binary, bits array<bigint>")
 
 
 def files(texts: DataFrame) -> DataFrame:
@@ -171,6 +183,14 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("text_key", "text").mapInArrow(mark, "text_key bigint, shingles array<bigint>")
 
 
+def alike(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (x, y, nx, ny, a, b) whose bitmaps differ in no more bits than texts of a similarity of 4/5 may in shingles."""
+    side = lambda x: bits.select(F.col("text_key").alias(x), F.col("bits").alias(f"b{x}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    differ = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    return both.where(differ * 9 <= F.col("nx") + F.col("ny")).select("x", "y", "a", "b")
+
+
 def similar(pairs: DataFrame, of: DataFrame) -> DataFrame:
     """The pairs (x, y, a, b) of texts x and y with a similarity of at least 4/5, as links (a, b)."""
     one = pairs.join(of.select(F.col("text_key").alias("x"), F.col("shingles").alias("sx")), "x")
@@ -179,6 +199,12 @@ def similar(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return two.where(common * 9 >= (F.size("sx") + F.size("sy")) * 4).select("a", "b")
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``sets`` of the texts in ``pairs``, each once."""
+    some = pairs.select(F.col("x").alias("text_key")).union(pairs.select("y")).distinct()
+    return write_once(sets(keyed(docs).select("text_key", "text").join(some, "text_key", "left_semi").dropDuplicates(["text_key"])), "sets")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, root, component_id) for every row: groups of ``simhash.near_duplicates`` joined where two of their texts
     are similar by words.
@@ -196,8 +222,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if members.isEmpty():
         return near
     some = write_once(members.select("text_key").distinct(), "compared")
-    texts = keyed(docs).select("text_key", "text").join(some, "text_key", "left_semi").dropDuplicates(["text_key"])
-    all_sets = write_once(sets(texts), "sets")
+    bits = write_once(all_marked.where(F.octet_length("prefix") > 0).join(some, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", "bits"), "bitmaps")
     first = of.select("root").distinct().select("root", F.col("root").alias("to"))
     fits = "least(nx, ny) * 5 >= greatest(nx, ny) * 4"
     for turn in range(STARS + 1):
@@ -213,8 +238,9 @@ def groups(docs: DataFrame) -> DataFrame:
             side = lambda x, r: members.select("h", F.col("text_key").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("root").alias(r))
             pairs = side("x", "a").where("px <= nx div 9").join(side("y", "b"), "h").where("a <> b and (nx < ny or (nx = ny and (x < y or py > ny div 9)))").where(fits)
             pairs = pairs.where("9 * least(nx - px, ny - py) >= 4 * (nx + ny)")
-        pairs = pairs.select("x", "y", "a", "b").distinct()
-        joined = connected_components(similar(write_once(pairs, "pairs"), all_sets), "similar")
+        pairs = alike(write_once(pairs.select("x", "y", "nx", "ny", "a", "b").distinct(), "pairs"), bits)
+        pairs = write_once(pairs, "alike-pairs")
+        joined = connected_components(similar(pairs, sets_of(docs, pairs)), "similar")
         joined = write_once(joined.select(F.col("node").alias("_n"), F.col("root").alias("_r")), "joined")
         first = write_once(first.join(joined, F.col("to") == F.col("_n"), "left").select("root", F.coalesce("_r", "to").alias("to")), "moved")
         if turn < STARS:

@@ -117,6 +117,17 @@ def test_prefixes_meet_at_four_fifths():
             assert set(x[:len(x) // 9 + 1]) & set(y[:len(y) // 5 + 1])
 
 
+def test_bitmaps_never_part_similar_texts():
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 40, 500, 5000):
+        for _ in range(20):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            y = np.concatenate((x[: n - n // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64) * np.uint64(2)))
+            a, b = similar.bitmaps(np.concatenate((x, y)), np.array([n, n])).view(np.uint64)
+            differ = int(np.bitwise_count(a ^ b).sum())
+            assert differ <= len(set(x.tolist()) ^ set(y.tolist())) and (n != 500 or differ > 40)
+
+
 @pytest.mark.parametrize("share", [0.7, 0.85])
 def test_families_meet_only_if_they_are_similar(spark, share, monkeypatch):
     """Texts of one template: below the least similarity they are not compared, above it they are one group."""
