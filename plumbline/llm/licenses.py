@@ -46,6 +46,19 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 
+#: Words that tell a notice from its neighbours: all of the first must stand in the block, none of the second.
+DISTINGUISHING = {
+    "agpl-3.0": ("gnu affero general public", ""),
+    "apache-2.0": ("apache 2 0", ""),
+    "bsd": ("source binary conditions", ""),
+    "cc-by-nc-4.0": ("cc by nc 4 0", "sa nd"),
+    "gpl-3.0": ("gnu general public 3", "affero lesser library"),
+    "isc": ("permission use copy modify distribute", ""),
+    "mit-grant": ("permission granted free charge software", ""),
+    "mpl-2.0": ("mozilla public 2 0", ""),
+    "unlicense": ("unencumbered public domain", ""),
+}
+
 
 def word_hash(found: list[str]) -> np.ndarray:
     column = Words(pa.array(found, pa.string()), ALNUM)
@@ -126,16 +139,18 @@ def cut_blocks(docs: DataFrame, vocabulary: list[str], rare: list[str], size: in
     return docs.mapInArrow(cut, BLOCKS)
 
 
-def template_rows(spark: SparkSession, sets: dict[str, list[str]], need: dict[str, int]) -> DataFrame:
-    """(label, t_ranks, need): in SQL, so that no Python task is needed for a few constants."""
-    rows = [F.struct(F.lit(k).alias("label"), F.array(*map(F.lit, v)).alias("t"), F.lit(need[k]).alias("need")) for k, v in sets.items()]
+def template_rows(spark: SparkSession, sets: dict[str, list[int]], need: dict[str, int], telling: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
+    """(label, t, need, must, bar), words as ranks: in SQL, so that no Python task is needed for a few constants."""
+    ranks = lambda v: F.array(*map(F.lit, v)).cast("array<int>")
+    rows = [F.struct(F.lit(k).alias("label"), ranks(v).alias("t"), F.lit(need[k]).alias("need"), ranks(telling[k][0]).alias("must"), ranks(telling[k][1]).alias("bar")) for k, v in sets.items()]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD,
+         distinguishing: dict[str, tuple[str, str]] = DISTINGUISHING) -> DataFrame:
     """(doc_id, text_key, n_words, n_base, first_word, last_word, base, labels, score) for every row.
 
-    score is the largest share of a template found in a block, and 1 where a phrase stands. A null or empty text has no
+    Of the blocks that hold enough of a template, those count that have all its ``distinguishing`` words and none of those that mark another license. score is the largest share of a template found in a block, and 1 where a phrase stands. A null or empty text has no
     words, labels or places; repeated rows get the same result each; rows of one doc_id with different texts are told apart;
     a null doc_id stays; other columns are not read; texts of any length are read whole.
     """
@@ -145,7 +160,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     if sum(map(len, sets.values())) > MOST_WORDS or not all(sets.values()):
         raise ValueError(f"templates need words, and {MOST_WORDS} at most")
     spark = docs.sparkSession
-    vocabulary = sorted({w for s in sets.values() for w in s})
+    telling = {label: tuple(words(d) for d in distinguishing.get(label, ("", ""))) for label in sets}
+    vocabulary = sorted({w for s in sets.values() for w in s} | {w for t in telling.values() for side in t for w in side})
     rows = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     # as many rows as the vocabulary has words, which is bounded above
     order = sorted((r.n or 0, r.word) for r in frequencies(rows, vocabulary).collect())
@@ -162,14 +178,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     least = min(need.values())
     with_ranks = in_block.where(F.size("words") >= least).select(*block, F.explode("words").alias("word")).join(F.broadcast(ranks), "word")  # at most MOST_WORDS rows
     ordered = write_once(with_ranks.groupBy(*block).agg(F.sort_array(F.collect_list("rank")).alias("b")), "license-ranks")
-    wanted = template_rows(spark, {k: [rank[w] for w in v] for k, v in ranked.items()}, need)
-    wanted = wanted.select("label", "t", "need", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("ti", "rank"))
+    wanted = template_rows(spark, {k: [rank[w] for w in v] for k, v in ranked.items()}, need, {k: tuple([rank[w] for w in side] for side in v) for k, v in telling.items()})
+    wanted = wanted.select("label", "t", "need", "must", "bar", F.posexplode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("ti", "rank"))
     probes = ordered.select(*block, "b", F.posexplode("b").alias("bi", "rank")).where(F.col("bi") <= F.size("b") - least)
     met = probes.join(F.broadcast(wanted), "rank").where(  # at most MOST_WORDS rows
         (F.size("b") >= F.col("need")) & (F.col("bi") <= F.size("b") - F.col("need"))
         & (1 + F.least(F.size("t") - F.col("ti") - 1, F.size("b") - F.col("bi") - 1) >= F.col("need")))
     share = F.size(F.array_intersect("b", "t"))
-    hits = met.select(*block, "label", "b", "t", "need").distinct().where(share >= F.col("need")).select(*block, "label", (share / F.size("t")).alias("share"))
+    plain = (F.size(F.array_intersect("b", "must")) == F.size("must")) & (F.size(F.array_intersect("b", "bar")) == 0)
+    hits = met.select(*block, "label", "b", "t", "need", "must", "bar").distinct().where((share >= F.col("need")) & plain).select(*block, "label", (share / F.size("t")).alias("share"))
     labels = write_once(hits.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("found"), F.max("share").alias("share")), "license-labels")
     return cut.join(labels, same_document(cut, labels), "left").select(
         cut["doc_id"], cut["text_key"], "n_words", "n_base", "first_word", "last_word", F.sort_array(F.array_distinct("base")).alias("base"),

@@ -91,17 +91,17 @@ def sql_list(found: list[str]) -> str:
 
 
 #: Templates as sets of words, block size and stride for the SQL of op3.
-SQL_TEMPLATES = ", ".join(f"('{label}', {sql_list(sorted(set(words(text))))})" for label, text in licenses.TEMPLATES.items())
+SQL_TEMPLATES = ", ".join(f"('{label}', {sql_list(sorted(set(words(text))))}, " + ", ".join(f"{sql_list(words(d))}::VARCHAR[]" for d in licenses.DISTINGUISHING[label]) + ")" for label, text in licenses.TEMPLATES.items())
 SQL_BLOCK = 2 * max(len(words(text)) for text in licenses.TEMPLATES.values())
 
 ORACLES: dict[str, str] = {
     "op3_license_set_join": f"""
 WITH d AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
-t(label, t) AS (VALUES {SQL_TEMPLATES}),
+t(label, t, must, bar) AS (VALUES {SQL_TEMPLATES}),
 b AS (SELECT doc_id, list_distinct(list_slice(w, s + 1, s + {SQL_BLOCK})) AS b
       FROM (SELECT doc_id, w, unnest(range(0, len(w), {SQL_BLOCK // 2})) AS s FROM d)),
 m AS (SELECT doc_id, label, max(n / len_t) AS share
-      FROM (SELECT doc_id, label, len(list_intersect(b, t)) AS n, len(t) AS len_t FROM b, t) WHERE n >= ceil(0.8 * len_t - 1e-9) GROUP BY ALL),
+      FROM (SELECT doc_id, label, len(list_intersect(b, t)) AS n, len(t) AS len_t FROM b, t WHERE list_has_all(b, must) AND NOT list_has_any(b, bar)) WHERE n >= ceil(0.8 * len_t - 1e-9) GROUP BY ALL),
 p(label, p) AS (VALUES ('gpl', ['gnu', 'general', 'public', 'license']), ('apache', ['apache', 'license']), ('cc-by', ['cc', 'by']), ('mit', ['mit', 'license'])),
 h AS (SELECT doc_id, label, i FROM (SELECT doc_id, label, p, w, unnest(range(0, len(w) - len(p) + 1)) AS i FROM d, p WHERE len(w) >= len(p))
       WHERE list_slice(w, i + 1, i + len(p)) = p),

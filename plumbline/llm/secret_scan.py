@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..session import write_once
@@ -35,6 +35,42 @@ DUMMY = r"(?i)example|dummy|sample|placeholder|change.?me|your|xxxx|1234|test|re
 FEATURES = ["size", "assigned", "quoted", "changes", "digits", "uppers", "lowers", "hexes", "others", "variety", "covered", "dummy", "dummy_beside", "word_before", "word_after", "test_path", "path_depth"]
 
 
+#: Every fixed finding is one of the forms below; so many of each.
+EACH = 100
+#: Words that stand around and inside fixed findings.
+PLAIN = ("account archive banner branch budget camera center change client cloud column config copper daily detail device draft engine export filter folder garden header image import index invoice "
+         "journal kernel layout letter market member meeting module monthly network number office order orange page parser planet policy preview product profile project record region release report "
+         "review river sample schedule screen section server session signal status stream summary system table target ticket update user value version weekly window winter").split()
+
+
+def fixed_findings(spark: SparkSession, each: int = EACH) -> DataFrame:
+    """Labelled findings of many forms, the same at every run, made by rule from hashes: the columns of ``candidates`` and label. True: hex, base64 and mixed keys, tokens of known vendors, signed tokens, passwords.
+    False: order and card numbers, dates, slugs, paths, identifiers, placeholders, repeated characters, words assigned to a telling name."""
+    i = F.col("id")
+    digest = lambda k: F.sha2(F.concat(i, F.lit(f":{k}")), 256)
+    pick = lambda k, of: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(of))) + 1).cast("int"))
+    word = lambda k: pick(k, PLAIN)
+    mixed = lambda k, n: F.left(F.translate(F.concat(F.base64(F.unhex(digest(k))), F.base64(F.unhex(digest(-k - 1)))), "+/=\r\n", "xYz"), F.lit(n))
+    digits = lambda k, n: F.left(F.translate(digest(k), "abcdef", "602759"), F.lit(n))
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = pick("name", ("password", "token", "secret", "api_key", "access_key", "auth", "passwd"))
+    to = pick("to", (" = ", "=", ": ", ' = "', ":"))
+    year = pick("year", ("2023", "2024", "2025"))
+    true = [cat(name, to, F.left(digest(1), F.lit(40))), cat("AKIA", F.upper(F.left(digest(2), F.lit(16)))), cat(name, to, F.left(F.base64(F.unhex(digest(3))), F.lit(40))), cat("ghp_", mixed(4, 36)), cat("sk_live_", mixed(5, 24)),
+            cat(name, to, F.initcap(word("p")), digits(6, 2), pick("mark", ("!", "#", "%", "&")), mixed(6, 6)), F.left(F.base64(F.unhex(digest(7))), F.lit(40)), cat("eyJ", mixed(8, 60)), cat(name, to, F.left(digest(9), pick("n", (18, 24, 32)))),
+            cat("xoxb-", digits(10, 12), "-", mixed(10, 24)), cat(name, to, mixed(11, 20))]
+    false = [cat(word(1), " ", digits(21, 16)), cat(word(1), " ", digits(22, 18)), cat(year, "1128-", word(1), "-", word(2), "-", word(3)), cat(word(1), "-notes-", year, "-11-", word(2)), cat(word(1), "/", word(2), "/", year, "/", word(3), "-01"),
+             cat(word(1), "_", word(2), "_", word(3), "_v2"), cat(year, "1128T101500Z-0000"), cat("978-3-16-14841", digits(23, 1), "-", digits(24, 1)), cat(name, to, pick("dummy", ("your-api-key-here", "changeme123", "example-key-1234", "placeholder", "xxxxxxxx1234"))),
+             cat(name, to, word(1), "-", word(2), "-", word(3)), cat(name, to, F.repeat(pick("c", ("a", "x", "0", "1")), 24)), cat(name, to, "${", F.upper(word(1)), "_TOKEN}"), cat(name, to, word(1), word(2)), cat(word(1), "-", year, "-", word(2), "-", digits(25, 2))]
+    forms = [*true, *false]
+    shaped = F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
+    text = cat(word("b1"), " ", word("b2"), " ", shaped, pick("end", (" ", '" ', ". ", ", ")), word("a1"), " ", word("a2"))
+    docs = spark.range(each * len(forms)).select(i.alias("doc_id"), (i % len(forms) < len(true)).cast("int").alias("_label"), text.alias("text"))
+    # one finding of a text: the shaped one stands first
+    found = candidates(docs).where("place = 0")
+    return found.join(docs.select(F.col("doc_id").alias("_id"), "_label"), F.col("doc_id") == F.col("_id")).select(*found.columns, F.col("_label").alias("label"))
+
+
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text_key, place, value, found, before, after, path): every candidate of every whole text. ``path``
     names the column with the document's path; without it, or null, the path is empty."""
@@ -79,23 +115,31 @@ def bounded(labelled: DataFrame, most: int = LABELLED) -> DataFrame:
     return labelled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 
-def train(labelled: DataFrame, dictionary: DataFrame, most: int = LABELLED) -> PipelineModel | None:
-    """A forest from labelled findings: the columns of ``candidates`` and label (1: a secret). None if
-    one of the labels is missing."""
-    rows = write_once(features(bounded(labelled.where(F.col("label").isin(0, 1)), most), dictionary).select("label", *FEATURES), "labelled")
-    if rows.select("label").distinct().count() < 2:
-        return None
+def train(labelled: DataFrame, dictionary: DataFrame, most: int = LABELLED) -> PipelineModel:
+    """A forest from labelled findings (the columns of ``candidates`` and label, 1: a secret; at most ``most`` of either label) and the fixed ones, so there is a forest for every corpus."""
+    some = bounded(labelled.where(F.col("label").isin(0, 1)), most)
+    both = some.select(*[c for c in some.columns if c in ("doc_id", "text_key", "place", "found", "before", "after", "path", "value", "label")]).unionByName(fixed_findings(labelled.sparkSession))
+    rows = write_once(features(both, dictionary).select("label", *FEATURES), "labelled")
     shape = VectorAssembler(inputCols=FEATURES, outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_is")
     return PipelineModel([shape, forest.fit(shape.transform(rows))])
 
 
-def judged(found: DataFrame, dictionary: DataFrame, model: PipelineModel | None, cut: float = CUT) -> DataFrame:
-    """(doc_id, text_key, place, found, value, score, secret) for every candidate; without a model all count."""
+def held_out_quality(labelled: DataFrame, dictionary: DataFrame, cut: float = CUT) -> DataFrame:
+    """(n, precision, recall) on a fifth of ``labelled``, chosen by a hash, of a forest that has seen the rest."""
+    fifth = F.pmod(F.xxhash64("found", "before"), F.lit(5)) == 0
+    rows = write_once(features(labelled, dictionary), "judged")
+    shape = VectorAssembler(inputCols=FEATURES, outputCol="_features")
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_is")
+    told = forest.fit(shape.transform(rows.where(~fifth))).transform(shape.transform(rows.where(fifth))).select("label", (F.element_at(vector_to_array("_p"), 2) >= cut).alias("secret"))
+    hit = F.count_if(F.col("secret") & (F.col("label") == 1))
+    return told.agg(F.count("*").alias("n"), (hit / F.count_if("secret")).alias("precision"), (hit / F.count_if(F.col("label") == 1)).alias("recall"))
+
+
+def judged(found: DataFrame, dictionary: DataFrame, model: PipelineModel, cut: float = CUT) -> DataFrame:
+    """(doc_id, text_key, place, found, value, score, secret) for every candidate."""
     rows = features(found, dictionary)
     keep = ["doc_id", "text_key", "place", "found", "value"]
-    if model is None:
-        return rows.select(*keep, F.lit(1.0).alias("score"), F.lit(True).alias("secret"))
     scored = model.transform(rows).withColumn("score", F.element_at(vector_to_array("_p"), 2))
     return scored.select(*keep, "score", (F.col("score") >= cut).alias("secret"))
 
@@ -128,8 +172,7 @@ def scan(docs: DataFrame, words: DataFrame, labelled: DataFrame | None = None, p
     Without ``labelled`` findings, those of ``labelled_findings`` are used. The texts are read once.
 
     A null or empty text has no candidate; repeated rows are scanned each; a null doc_id stays;
-    very long texts are read whole; other columns are not read. If the labelled findings lack a label,
-    every candidate counts as a secret.
+    very long texts are read whole; other columns are not read. Fixed findings of many forms are always learned from, too.
     """
     words = write_once(words, "dictionary")
     found = write_once(candidates(docs, path), "found")
@@ -138,16 +181,18 @@ def scan(docs: DataFrame, words: DataFrame, labelled: DataFrame | None = None, p
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret value replaced, and n_chars, where there is one, counted anew. Rows and columns stay."""
-    values = write_once(found.where("secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).agg(F.array_sort(F.collect_set("value")).alias("__values")), "secrets")
+    """``docs`` with every secret value replaced where it was found, and n_chars, where there is one, counted anew. Rows and columns stay; the same word elsewhere in the
+    text stays; null and empty texts have nothing to replace; repeated rows are changed alike."""
+    places = write_once(found.where("secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).agg(F.collect_set("place").alias("__places")), "secrets")
     rows = docs.withColumn("__key", text_key())
-    both = rows.join(values, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
-    # longer values first: one may hold another
-    longest = F.reverse(F.array_sort(F.transform("__values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    text = F.when(F.col("__values").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v["v"], F.lit(mark))))
-    out = both.withColumn("text", text)
+    both = rows.join(places, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
+    # the text is cut at its candidates again and put together: n + 1 pieces around n candidates
+    at, between = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
+    new = F.transform(at, lambda x, i: F.when(F.array_contains("__places", i), F.concat(F.regexp_extract(x, f"^{NAME}(?=.)", 0), F.lit(mark))).otherwise(x))
+    whole = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    out = both.withColumn("text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__places").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -34,7 +34,7 @@ BITS = 1024
 #: Before all pairs of a file are compared, members are compared with one of them, in so many rounds at most.
 STARS = 2
 #: About so many entries to a task of the join.
-ENTRIES = 1_000_000
+ENTRIES = 500_000
 ENTRY = np.dtype([("h", "<u8"), ("text", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
@@ -201,7 +201,8 @@ def similar(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``sets`` of the texts in ``pairs``, each once."""
-    some = pairs.select(F.col("x").alias("text_key")).union(pairs.select("y")).distinct()
+    # written, so that its size is known: a small one is sent to the texts, which then are not shuffled
+    some = write_once(pairs.select(F.col("x").alias("text_key")).union(pairs.select("y")).distinct(), "some")
     return write_once(sets(keyed(docs).select("text_key", "text").join(some, "text_key", "left_semi").dropDuplicates(["text_key"])), "sets")
 
 
