@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exact_round, fixed, month_label, safe_ratio, weighted_score, zero_fill
+from .selection import quantiles
 from .windows import share_of_all, top_n
 
 
@@ -125,7 +126,7 @@ def daily_peak(headcount: DataFrame) -> DataFrame:
 
 def base_staffing(forecast: DataFrame, by: Sequence[str], col: str, p: float = 0.6) -> DataFrame:
     """Planned base load: the given percentile of the forecast."""
-    return forecast.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), p).alias("base"))
+    return quantiles(forecast, by, {"base": (col, p)})
 
 
 def ser(df: DataFrame, actual: str, plan: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import bad_record_len, exact_round, first_token, fixed, month_label, record_has_token, safe_ratio
+from ..functions import bad_record_len, exact_round, first_token, fixed, month_label, parse_any, record_has_token, safe_ratio
 from .quality import stack_checks
 
 
@@ -365,6 +365,17 @@ def ambiguous_cases(stats: DataFrame, incidents: DataFrame, kinds: Sequence[str]
     return stack_checks(parts)
 
 
+def lost_bounce_marks(stats: DataFrame, incidents: DataFrame) -> DataFrame:
+    """The evidence behind ``badmail_perdido_en_dedupe``, to rule on: every discarded row with a bounce mark (file, line, record) beside what the target says of
+    that very send. A row meets one send, so a busy address costs one row per discarded row."""
+    c = F.col
+    sent = F.regexp_extract("valor_original", r" \| (.*)$", 1)
+    dropped = incidents.filter((c("codigo_error") == "V-07") & record_has_token("registro_completo", "HARD")).select(
+        F.lower(F.trim(first_token("registro_completo"))).alias("email"), parse_any(sent).alias("fecha_envio"), "file_id", "line_no", c("registro_completo").alias("discarded"))
+    shown = stats.filter((c("opens") > 0) | (c("clicks") > 0)).select("email", "fecha_envio", F.coalesce("badmail", F.lit("(none)")).alias("mark_in_target"), "opens", "clicks")
+    return dropped.join(shown, ["email", "fecha_envio"])
+
+
 def pending_cases(cases: DataFrame, rulings: DataFrame) -> DataFrame:
     """Cases nobody has ruled on."""
     done = rulings.select(F.col("tipo_caso").alias("kind"), "email", "fecha_envio").distinct()

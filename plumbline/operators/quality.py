@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import blank_to_null, exact_round
+from .selection import quantiles
 from ..session import write_once
 
 
@@ -175,10 +176,7 @@ def month_density(df: DataFrame, date: str, metric: str, fill_gaps: bool = False
 def value_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """Mean, sample deviation, percentiles and maximum.
 
-    Without ``exact`` the percentiles come from a sketch of bounded size. With it,
-    the sketch only brackets each percentile (its rank error is known); rows below
-    the bracket are counted and the few values inside are ranked, so the result is
-    exact and no task ever holds the column."""
+    Without ``exact`` the percentiles come from a sketch of bounded size. With it they are selected (``selection``), and no task ever holds the column."""
     value = F.col(col).cast("double")
     marks = {"p1": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
     shape = [exact_round(F.avg(value), 2).alias("mean"), exact_round(F.stddev_samp(value), 2).alias("stddev"),
@@ -187,23 +185,8 @@ def value_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
         cuts = F.percentile_approx(value, list(marks.values()), 10000)
         return df.agg(*shape, cuts.alias("q")).select(
             "mean", "stddev", *[F.col("q")[i].alias(m) for i, m in enumerate(marks)], "max")
-    slack, bound = 0.001, 10000
-    ends = [x for q in marks.values() for x in (max(0.0, q - slack), min(1.0, q + slack))]
-    first = df.agg(*shape, F.percentile_approx(col, ends, bound).alias("q"), F.count(col).alias("n")).first()
-    if not first["n"]:
-        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("mean", "stddev", *marks, "max")])
-    brackets = {m: (first["q"][2 * i], first["q"][2 * i + 1]) for i, m in enumerate(marks)}
-    below = df.agg(*[F.count_if(F.col(col) < F.lit(lo)).alias(m) for m, (lo, _) in brackets.items()])
-    hits = F.explode(F.array(*[F.when(F.col(col).between(F.lit(lo), F.lit(hi)), F.lit(m)) for m, (lo, hi) in brackets.items()]))
-    inside = df.select(F.col(col).alias("v"), hits.alias("mark")).filter("mark IS NOT NULL").groupBy("mark", "v").agg(_n("c"))
-    upto = F.sum("c").over(Window.partitionBy("mark").orderBy("v"))
-    share = F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])
-    ranked = inside.withColumn("upto", upto).join(_melt(below, [], "mark", "below"), "mark")
-    reached = F.col("upto") + F.col("below") >= F.ceil(share[F.col("mark")] * F.lit(first["n"]) - F.lit(1e-9))
-    picked = ranked.filter(reached).groupBy("mark").agg(F.min("v").cast("double").alias("v"))
-    wide = [F.max(F.when(F.col("mark") == m, F.col("v"))).alias(m) for m in marks]
-    facts = [F.lit(first[c]).cast("double").alias(c) for c in ("mean", "stddev")]
-    return picked.agg(*wide).select(*facts, *marks, F.lit(first["max"]).cast("double").alias("max"))
+    cuts = quantiles(df, [], {m: (col, share) for m, share in marks.items()}, interpolate=False)
+    return df.agg(*shape).unionByName(cuts, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("mean", "stddev", *marks, "max")])
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
@@ -287,16 +270,16 @@ def audit(fact: DataFrame, key: str, dims: Mapping[str, tuple[DataFrame, str, st
           ) -> DataFrame:
     """The whole audit as one tidy frame (check, scope, value, status). ``dims``
     maps a name to (frame, dimension key, fact key)."""
-    def tidy(df: DataFrame, check: str, scope: str, value: str) -> DataFrame:
-        return df.select(F.lit(check).alias("check"), F.col(scope).alias("scope"),
-                         F.col(value).cast("long").alias("value"))
-    parts = [
-        tidy(row_counts({"fact": fact, **{n: d for n, (d, _, _) in dims.items()}}), "row_count", "table_name", "row_count"),
-        tidy(duplicate_excess(fact, key, "fact"), "duplicate", "check_name", "duplicates"),
-        *[tidy(duplicate_excess(d, k, n), "duplicate", "check_name", "duplicates") for n, (d, k, _) in dims.items()],
-        tidy(null_counts(fact), "nulls", "column_name", "nulls"),
-        tidy(orphans(fact, [(fk, d, k) for d, k, fk in dims.values()]), "orphan", "issue", "orphan_rows"),
-        tidy(range_checks(fact, measures), "range", "rule", "violations"),
-    ]
+    def said(df: DataFrame, facts: dict[tuple[str, str], Column]) -> DataFrame:
+        """Named aggregates of one pass, a row each."""
+        flat = df.agg(*[v.cast("long").alias(f"v{i}") for i, v in enumerate(facts.values())])
+        return flat.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.lit(n).alias("scope"), F.col(f"v{i}").alias("value")) for i, (c, n) in enumerate(facts)])).alias("x")).select("x.*")
+
+    def size(k: str, scope: str) -> dict[tuple[str, str], Column]:
+        return {("row_count", scope): F.count(F.lit(1)), ("duplicate", scope): F.count(F.lit(1)) - F.countDistinct(k)}
+
+    facts = size(key, "fact") | {("nulls", c): F.count_if(F.col(c).isNull()) for c in fact.columns} | {("range", n): F.count_if(cond) for n, cond in measures.items()}
+    lost = orphans(fact, [(fk, d, k) for d, k, fk in dims.values()]).select(F.lit("orphan").alias("check"), F.col("issue").alias("scope"), F.col("orphan_rows").cast("long").alias("value"))
+    parts = [said(fact, facts), *[said(d, size(k, n)) for n, (d, k, _) in dims.items()], lost]
     return stack_checks(parts).withColumn(
         "status", F.when(F.col("check") == "row_count", "INFO").when(F.col("value") == 0, "PASS").otherwise("FAIL"))

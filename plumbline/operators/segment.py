@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+import math
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exact_round, fixed, safe_ratio
 from ..session import cut_lineage, write_once
+from .selection import quantiles
+from .windows import surrogate_key
 
 AGGREGATES = {
     # an all-null sum is 0; a null in the data is skipped by every function
@@ -34,8 +37,20 @@ def to_entities(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], mi
     bad = sorted(set(metrics.values()) - set(AGGREGATES))
     if bad:
         raise NotAllowed(f"functions {bad} are not available; use {sorted(AGGREGATES)}")
-    aggs = [AGGREGATES[fn](c).alias(f"{c}_{fn}") for c, fn in metrics.items()]
+    names = [f"{c}_{fn}" for c, fn in metrics.items()]
+    aggs = [AGGREGATES[fn](c).alias(f"{c}_{fn}") for c, fn in metrics.items() if fn != "median"]
+    medians = {f"{c}_{fn}": (c, 0.5) for c, fn in metrics.items() if fn == "median"}
+    if medians:
+        df = write_once(df.select(*by, *metrics), "metrics")
     out = df.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("_n_source_rows"))
+    if medians:
+        # an aggregate of its own would hold a group's values in one task
+        mid = quantiles(df, by, medians).select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *medians)
+        same = F.lit(True)
+        for i, b in enumerate(by):
+            same = same & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+        out = out.join(mid, same)
+    out = out.select(*by, *names, "_n_source_rows")
     return out.filter(F.col("_n_source_rows") >= min_rows) if min_rows > 0 else out
 
 
@@ -183,33 +198,50 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str, key: str, run
 
 
 # --- null model --------------------------------------------------------------------------------
-def hash_positions(df: DataFrame, key: str, salt: str, name: str, bits: int = 10) -> DataFrame:
-    """Position 0..n-1 of every row in a pseudo-random order given by ``salt``.
-
-    The order is that of a hash, so the 2**``bits`` equal slices of its range hold
-    about equally many rows: rows are numbered inside their slice and shifted by the rows of
-    earlier slices. It does not depend on how the data are partitioned."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
-    # monotone in h: the top bits, shifted to start at 0
-    part = (F.shiftright(h, 64 - bits) + 2 ** (bits - 1)).cast("int")
-    rows = df.withColumns({"_h": h, "_part": part})
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key))
-    return rows.withColumn("_in", inside).join(shifts, "_part").withColumn(
-        name, F.col("_in") + F.col("_shift") - 1).drop("_h", "_part", "_in", "_shift")
-
-
-def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int) -> DataFrame:
+def _mixed(x: np.ndarray, key: int) -> np.ndarray:
+    """Spreads every bit of 64-bit numbers over all, differently for every key."""
+    x = x + np.uint64(key)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted_ids(ids: np.ndarray, n: int, keys: Sequence[int]) -> np.ndarray:
+    """A permutation of 0..n-1 by formula: a Feistel network over pairs (a, b) of a square just large enough, one round per key; a number that leaves 0..n-1 is
+    sent through again until it is back, which keeps it a permutation."""
+    side = np.uint64(math.isqrt(max(n - 1, 0)) + 1)
+    out = ids.astype(np.uint64)
+    left = np.arange(len(out))
+    while len(left):
+        a, b = out[left] // side, out[left] % side
+        for key in keys:
+            a, b = b, (a + _mixed(b, key)) % side
+        out[left] = a * side + b
+        left = left[out[left] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def _place(n: int, keys: Sequence[int]):
+    @F.pandas_udf("long")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(permuted_ids(ids.to_numpy(), n, keys))
+
+    return place
+
+
+def permute_columns(df: DataFrame, cols: Sequence[str], key: str, seed: int, rounds: int = 4) -> DataFrame:
     """Shuffle every column on its own: single distributions stay, anything
     between columns is destroyed. The same seed gives the same result whatever
-    the partitioning."""
-    out = hash_positions(df.select(key), key, f"{seed}:", "_pos")
+    the partitioning. Rows are numbered once; each column is then one join, from a row to the row a formula names."""
+    rows = write_once(surrogate_key(df.select(key, *cols), [key, *cols], "_id"), "numbered")
+    n = rows.count()
+    out = rows.select(key, (F.col("_id") - 1).alias("_id"))
     for i, c in enumerate(cols):
-        donor = hash_positions(df.select(F.col(key).alias("_k"), F.col(c)), "_k", f"{seed}:{i + 1}:{c}", "_pos")
-        out = out.join(donor.select("_pos", c), "_pos")
-    return out.drop("_pos")
+        keys = [int(k) for k in np.random.default_rng([seed, i]).integers(0, 1 << 63, rounds)]
+
+        donor = rows.select((F.col("_id") - 1).alias("_from"), F.col(c))
+        out = out.withColumn("_from", _place(n, keys)("_id")).join(donor, "_from").drop("_from")
+    return out.drop("_id")
 
 
 # --- sweep and fit -----------------------------------------------------------------------------
@@ -240,16 +272,64 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :], 0)
 
 
-def _seed_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ over a sample of the points."""
-    centres = sample[[rng.integers(len(sample))]]
+#: Seeding: passes over the points, and points picked in each for every source, as a multiple of the largest k.
+PASSES, OVERSAMPLED = 4, 4
+
+
+def _seed_centres(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ over weighted points."""
+    centres = points[[rng.choice(len(points), p=weight / weight.sum())]]
     while len(centres) < k:
-        d = _distances(sample, centres).min(1)
+        d = _distances(points, centres).min(1) * weight
         p = d / d.sum() if d.sum() > 0 else None
-        centres = np.vstack([centres, sample[rng.choice(len(sample), p=p)]])
+        centres = np.vstack([centres, points[rng.choice(len(points), p=p)]])
     return centres
 
 
+def oversampled(points: DataFrame, k: int, seed: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Candidates for the starts of every source, and how many points are nearest to each (k-means||).
+
+    Each pass sees all points and picks some by their squared distance to those picked before (the first pass evenly): every
+    point draws an exponential number divided by its distance, and the smallest stay, those of a task first and then of all. So a group far from the rest is picked
+    from whatever its size. The driver gets PASSES * OVERSAMPLED * k points of a source and their counts, whatever the data."""
+    want = OVERSAMPLED * k
+    found: dict[str, np.ndarray] = {}
+
+    def pick(turn: int, found: dict[str, np.ndarray]):
+        def look(batches):
+            best: dict[str, pd.DataFrame] = {}
+            for pdf in batches:
+                for source, group in pdf.groupby("source"):
+                    d = _distances(np.stack(group["x"].to_numpy()), found[source]).min(1) if source in found else np.ones(len(group))
+                    h = pd.util.hash_array(group["pid"].to_numpy().astype(object), hash_key=f"{(seed * 1_000 + turn) % 10 ** 16:016d}")
+                    # at no distance from a picked point there is nothing to pick but rounding
+                    draw = np.where(d > 1e-12, -np.log((h + 0.5) / 2.0 ** 64) / np.maximum(d, 1e-300), np.inf)
+                    rows = group[["source", "pid", "x"]].assign(draw=draw)
+                    best[source] = pd.concat([best[source], rows] if source in best else [rows]).query("draw < inf").nsmallest(want, "draw")
+            yield from (b[["source", "draw", "pid", "x"]] for b in best.values())
+        return look
+
+    for turn in range(PASSES):
+        drawn = points.mapInPandas(pick(turn, found), "source string, draw double, pid string, x array<double>")
+        order = F.row_number().over(Window.partitionBy("source").orderBy("draw", "pid"))
+        new: dict[str, list] = {}
+        for row in drawn.withColumn("_r", order).filter(F.col("_r") <= want).orderBy("source", "_r").select("source", "x").collect():
+            new.setdefault(row["source"], []).append(row["x"])
+        found = {s: np.array([*found.get(s, []), *new.get(s, [])]) for s in {*found, *new}}
+
+    def nearest(batches):
+        n = {s: np.zeros(len(c)) for s, c in found.items()}
+        for pdf in batches:
+            for source, group in pdf.groupby("source"):
+                n[source] += np.bincount(_distances(np.stack(group["x"].to_numpy()), found[source]).argmin(1), minlength=len(found[source]))
+        yield pd.DataFrame([(s, i, v) for s, c in n.items() for i, v in enumerate(c) if v], columns=["source", "at", "n"])
+
+    weight = {s: np.zeros(len(c)) for s, c in found.items()}
+    for row in points.mapInPandas(nearest, "source string, at long, n double").groupBy("source", "at").agg(F.sum("n").alias("n")).collect():
+        weight[row["source"]][row["at"]] = row["n"]
+    return {s: (c, weight[s]) for s, c in found.items()}
+
+
 def _lloyd(points: DataFrame, centres: dict[tuple, np.ndarray], max_iter: int, tol: float = 1e-4):
     """Lloyd iterations of many runs in one pass over the data per iteration.
 
@@ -308,13 +388,12 @@ def _lloyd(points: DataFrame, centres: dict[tuple, np.ndarray], max_iter: int, t
 
 
 def sweep_models(df: DataFrame, features: Sequence[str], key: str, k_min: int = 2, k_max: int = 8, n_null: int = 5,
-                 seed: int = 42, starts: int = STARTS, seed_points: int = 50_000) -> tuple[DataFrame, dict[int, np.ndarray]]:
+                 seed: int = 42, starts: int = STARTS) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Inertia, silhouette, null silhouette, gap and smallest cluster per k, and the winning centres of each k.
 
     ``features`` are the scaled columns. Real data and null models form one cached frame; all k, nulls
     and starts are fitted together, one pass per iteration, until every one has converged, and one more job
-    scores the best labelling of each. Starts are seeded by k-means++ on all points up to ``seed_points`` of a
-    source, beyond that on so many chosen by hash; every fit sees all points. (One library fit per source, k
+    scores the best labelling of each. Starts are seeded by k-means++ on weighted candidates that passes over all points pick (``oversampled``). (One library fit per source, k
     and start costs 420 times some 25 jobs for the default sweep, several times as long.)"""
     spark = df.sparkSession
     real = cut_lineage(df.select(key, *features))
@@ -332,14 +411,9 @@ def sweep_models(df: DataFrame, features: Sequence[str], key: str, k_min: int =
     slices = max(1, min(spark.sparkContext.defaultParallelism, n // 2_000), n // 50_000)
     points = write_once(points.repartition("source", F.pmod(F.xxhash64("pid"), F.lit(slices))), "points").persist()
     try:
-        rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("pid", F.lit(seed)), "pid"))
-        chosen_points = points if n <= seed_points else points.withColumn("_r", rank).filter(F.col("_r") <= seed_points)
-        sample: dict[str, list] = {}
-        for row in chosen_points.select("source", "x").collect():  # seed_points rows of a source at most
-            sample.setdefault(row["source"], []).append(row["x"])
+        sample = oversampled(points, max(ks), seed)
         rng = np.random.default_rng(seed)
-        first = {(source, k, s): _seed_centres(np.array(sorted(rows)), k, rng)
-                 for source, rows in sorted(sample.items()) for k in ks for s in range(starts)}
+        first = {(source, k, s): _seed_centres(*sample[source], k, rng) for source in sorted(sample) for k in ks for s in range(starts)}
         centres, cost, smallest = _lloyd(points, first, MOST_ITERATIONS)
         best = {(source, k): min(((source, k, s) for s in range(starts)), key=cost.get) for source in sample for k in ks}
         chosen = {run: centres[run] for run in best.values()}
@@ -444,16 +518,18 @@ def profile_segments(df: DataFrame, features: Sequence[str], key: str, value: st
 
 
 def findings(verdict: DataFrame, concentration: DataFrame, label: str = "cluster") -> DataFrame:
-    """Named segments. Marginal structure is an operational partition, not a
-    discovery; without structure there are no segments to name."""
+    """Named segments with the silhouette of the chosen k. Marginal structure is an operational partition, not a
+    discovery; without structure there are no segments to name, and one row says so."""
     ratio = F.col("concentration_ratio")
     name = (F.when(ratio >= fixed.RATIO_HIGH, "value engine").when(ratio <= fixed.RATIO_LOW, "long tail")
             .otherwise("middle block"))
-    structure = verdict.agg(F.first("structure").alias("s")).scalar()
-    k = verdict.agg(F.first("best_k").alias("k")).scalar()
-    return concentration.withColumns({"structure": structure, "chosen_k": k}).filter("structure <> 'ninguna'").withColumns({
+    said = verdict.select("structure", (F.col("structure") != "ninguna").alias("structure_found"), F.col("best_k").alias("chosen_k"), F.col("best_silhouette").alias("silhouette"))
+    fact = {c: said.agg(F.first(c).alias(c)).scalar() for c in said.columns}
+    named = concentration.withColumns(fact).filter("structure_found").withColumns({
         "segment": F.concat(name, F.lit(" (c"), F.col(label), F.lit(")")),
         "caveat": F.when(F.col("structure") == "marginal", "operational partition").otherwise("")})
+    none = said.filter("NOT structure_found").withColumns({"chosen_k": F.lit(None).cast("int"), "caveat": F.lit("no structure: segments would be invented")})
+    return named.unionByName(none, allowMissingColumns=True)
 
 
 # --- agreement -------------------------------------------------------------------------------------
@@ -494,7 +570,8 @@ def segment(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], featur
     out = {"entities": entities, "sweep": sweep, "verdict": verdict}
     best = verdict.first()
     if best["structure"] == "ninguna":
-        return out
+        nothing = entities.sparkSession.createDataFrame([], "cluster int, pct_of_entities double, pct_of_value double, concentration_ratio double")
+        return {**out, "findings": findings(verdict, nothing)}
     check_k(best["best_k"], scaled.count(), sweep)
     labelled = label_segments(scaled, z, models[best["best_k"]])
     profile = profile_segments(labelled, features, "entity", value)

@@ -321,6 +321,6 @@ def streamed_ingest(x):
         F.count(F.lit(1)).alias("rows"), F.sum("opens").alias("opens"), F.sum("clicks").alias("clicks")).select(F.lit("statistics").alias("target"), "rows", "opens", "clicks")
     visits = ingest.current(x.spark, f"{root}/out", "visits").agg(F.count(F.lit(1)).alias("rows"), F.sum("clicks").alias("clicks")).select(
         F.lit("visits").alias("target"), "rows", zero.alias("opens"), "clicks")
-    said = x.spark.read.parquet(f"{root}/out/incidents").filter(F.col("severidad") == fixed.REJECT).agg(F.count(F.lit(1)).alias("rows")).select(
+    said = ingest.current(x.spark, f"{root}/out", "incidents").filter(F.col("severidad") == fixed.REJECT).agg(F.count(F.lit(1)).alias("rows")).select(
         F.lit("rejected").alias("target"), "rows", zero.alias("opens"), zero.alias("clicks"))
     return stats.unionByName(visits).unionByName(said)

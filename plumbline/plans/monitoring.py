@@ -149,26 +149,32 @@ def file_balance(x):
     return m.file_balance(x.files, x.ranked)
 
 
-@query(sql("SELECT id_ejecucion, n AS staged, kept, discarded, rejected, CASE WHEN n = kept + discarded + rejected THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT id_ejecucion, count(*) AS n, "
+@query(sql("SELECT id_ejecucion, n AS staged, kept, discarded, coalesce(rejected, 0) AS rejected, CASE WHEN n = kept + discarded + coalesce(rejected, 0) THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT id_ejecucion, count(*) AS n, "
            "count(*) FILTER (WHERE rn = 1) AS kept, count(*) FILTER (WHERE rn > 1) AS discarded FROM ranked GROUP BY 1) LEFT JOIN (SELECT id_ejecucion, count(*) AS rejected FROM recinc WHERE severidad = 'RECHAZO' GROUP BY 1) USING (id_ejecucion)",
            "ranked", "recinc"))
 def count_balance(x):
     return m.balance(x.staged, x.ranked, x.incidents)
 
 
-@query(sql(_checks({
+_CONTROLS = {
     "staging = work": "(SELECT count(*) FROM staged) - (SELECT count(*) FROM work)",
     "rows per file": "SELECT count(*) FROM files f JOIN (SELECT file_id, count(*) AS n FROM ranked GROUP BY 1) USING (file_id) WHERE n <> registros_leidos",
     "discards audited": "(SELECT count(*) FROM ranked WHERE rn > 1) - (SELECT count(*) FROM incidents WHERE codigo_error = 'V-07')",
-    "line ends": "SELECT count(*) FROM work WHERE ends_with(plataformas, chr(13)) OR ends_with(navegadores, chr(13))"}), "files", "ranked", "incidents"))
+    "line ends": "SELECT count(*) FROM work WHERE ends_with(plataformas, chr(13)) OR ends_with(navegadores, chr(13))"}
+
+
+@query(sql(_checks(_CONTROLS), "files", "ranked", "incidents"))
 def control_points(x):
     return m.control_points(x.staged, x.ranked, x.files, x.incidents)
 
 
-@query(sql(_checks({
+_INTEGRITY = {
     "null keys": "SELECT count(*) FROM stats WHERE email IS NULL OR fecha_envio IS NULL", "visitor without visits": "SELECT count(*) FROM visitors WHERE \"visitasTotales\" <= 0",
     "inverted dates": "SELECT count(*) FROM visitors WHERE \"fechaPrimeraVisita\" > \"fechaUltimaVisita\"",
-    "emails = visitors": "(SELECT count(DISTINCT email) FROM visits) - (SELECT count(*) FROM visitors)"}), "stats", "visitors"))
+    "emails = visitors": "(SELECT count(DISTINCT email) FROM visits) - (SELECT count(*) FROM visitors)"}
+
+
+@query(sql(_checks(_INTEGRITY), "stats", "visitors"))
 def target_integrity(x):
     return m.target_integrity(x.stats, x.visits, x.visitors)
 
@@ -198,7 +204,7 @@ def layer_invariants(x):
     return m.invariants(x.loaded, x.visits, x.visitors)
 
 
-@query(sql("SELECT TRUE AS all_ok, 9 AS n", "runs"))
+@query(sql(f"SELECT bool_and(status = 'PASS') AS all_ok, CAST(count(*) AS INT) AS n FROM ({_checks(_CONTROLS | _INTEGRITY | {'totals': _TOTALS})})", "files", "ranked", "incidents", "stats", "visitors"))
 def reconciliation_verdict(x):
     """Every control point of the load holds."""
     out = m.reconcile(x.staged, x.ranked, x.files, x.incidents, x.stats, x.visits, x.visitors)
@@ -216,6 +222,12 @@ CTES["cases"] = (("stats", "incidents"), " UNION ALL ".join(
       f"WHERE codigo_error = 'V-07' AND regexp_matches(registro_completo, '(^|,)HARD(,|$)') GROUP BY 1) i USING (email) WHERE {_ACT}")
 
 
+@query(sql("SELECT s.email, s.fecha_envio, i.file_id, i.line_no, coalesce(s.badmail, '(none)') AS mark_in_target, s.opens, s.clicks, i.registro_completo AS discarded FROM ranked i JOIN stats s ON s.email = i.email AND s.fecha_envio = i.fecha_envio "
+           "WHERE i.rn > 1 AND i.badmail = 'HARD' AND (s.opens > 0 OR s.clicks > 0)", "ranked", "stats"))
+def lost_bounce_marks(x):
+    return m.lost_bounce_marks(x.stats, x.incidents)
+
+
 @query(sql("SELECT * FROM cases", "cases"))
 def ambiguous_cases(x):
     return m.ambiguous_cases(x.stats, x.incidents)

@@ -61,12 +61,13 @@ _HEAD = "email,jyv,Badmail,Baja,Fecha envio,Fecha open,Opens,Opens virales,Fecha
 _HEADS = {"plain": _HEAD, "twin": _HEAD, "narrow": _HEAD.removesuffix(",Plataformas"), "renamed": _HEAD.replace(",Baja,", ",Unknown,")}
 
 
-@query(sql("SELECT kind AS file, CAST(sum(octet_length(encode(line)) + 2) AS BIGINT) AS bytes FROM (SELECT kind, line FROM report_lines UNION ALL "
+@query(sql("SELECT kind AS file, FALSE AS quiet_in_2000, CAST(sum(octet_length(encode(line)) + 2) AS BIGINT) AS bytes FROM (SELECT kind, line FROM report_lines UNION ALL "
            + " UNION ALL ".join(f"SELECT '{k}', '{h}'" for k, h in _HEADS.items()) + ") GROUP BY kind", "report_lines"))
 def report_manifest(x):
     root = _reports(x)
-    quiet = files.quiet_files(_manifest(x, root), "2999-01-01 00:00:00")
-    return quiet.select("file", "bytes")
+    manifest = _manifest(x, root)
+    quiet, early = (files.quiet_files(manifest, f"{year}-01-01 00:00:00") for year in (2999, 2000))
+    return quiet.join(early.select("file", F.lit(True).alias("e")), "file", "left").select("file", "bytes", F.coalesce("e", F.lit(False)).alias("quiet_in_2000"))
 
 
 @query(sql("SELECT count(*) AS files, count(DISTINCT d) AS new_files, CAST(0 AS BIGINT) AS again FROM (SELECT kind, md5(string_agg(line, chr(10) ORDER BY file_id, line_no)) AS d FROM report_lines GROUP BY kind)", "report_lines"))

@@ -108,11 +108,15 @@ def silhouette_per_point(x):
         F.col("pid").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), fx.exact_round("silhouette", 6).alias("silhouette"))
 
 
-@query(sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, {r(f'sum(CAST({c} AS DECIMAL(30,4)))', 4)} AS total, {r(f'min({c})', 4)} AS low, {r(f'max({c})', 4)} AS high FROM entities" for c in FEATURES), "entities"))
+#: Values are compared in ten-thousandths; means of a few values lie on halves and quarters, but not on this edge.
+_OFF_HALVES = 0.1234567
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, CAST(sum(CAST(floor(CAST({c} AS DOUBLE) * 10000 + {_OFF_HALVES}) AS HUGEINT)) AS BIGINT) AS total, {r(f'min({c})', 4)} AS low, {r(f'max({c})', 4)} AS high FROM entities" for c in FEATURES), "entities"))
 def permuted_columns_keep_their_values(x):
     rows = _entities(x).withColumn("entity", s.entity_name(["brand", "geokey"]))
     mixed = s.permute_columns(rows, FEATURES, "entity", seed=42)
-    sums = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), fx.exact_round(F.sum(F.col(c).cast("decimal(30,4)")), 4).alias("total"),
+    sums = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.sum(F.floor(F.col(c) * 10000 + _OFF_HALVES).cast("bigint")).alias("total"),
                      fx.exact_round(F.min(c), 4).alias("low"), fx.exact_round(F.max(c), 4).alias("high")).alias(c) for c in FEATURES]
     return mixed.agg(*sums).select(F.explode(F.array(*FEATURES)).alias("s")).select("s.*")
 
@@ -164,11 +168,28 @@ def fitted_segments(x):
     return s.fit_segments(rows, [f"{f}_z" for f in PLANTED], 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("SELECT cluster, pe AS pct_of_entities, pv AS pct_of_value, " + r("pv / pe", 2) + " AS concentration_ratio, 'clara' AS structure, CAST(3 AS INT) AS chosen_k, CASE WHEN " + r("pv / pe", 2)
-           + " >= 1.6 THEN 'value engine' WHEN " + r("pv / pe", 2) + " <= 0.6 THEN 'long tail' ELSE 'middle block' END || ' (c' || cluster || ')' AS segment, '' AS caveat FROM concentrated", "concentrated"))
+_NEAR = ("p AS (SELECT row_number() OVER () AS i, g, [" + ", ".join(PLANTED) + "] AS v FROM planted_z), d AS (SELECT a.i, a.g, b.g AS o, sum(list_distance(a.v, b.v)) AS t, count(*) AS n FROM p a, p b GROUP BY ALL), "
+         "q AS (SELECT i, max(CASE WHEN o = g THEN t / (n - 1) END) AS a, min(CASE WHEN o <> g THEN t / n END) AS b FROM d GROUP BY i), s AS (SELECT avg((b - a) / greatest(a, b)) AS s FROM q)")
+
+
+@query(sql(", " + _NEAR + " SELECT cluster, pe AS pct_of_entities, pv AS pct_of_value, " + r("pv / pe", 2) + " AS concentration_ratio, 'clara' AS structure, TRUE AS structure_found, CAST((SELECT count(DISTINCT g) FROM planted_z) AS INT) AS chosen_k, "
+           + r("s", 4) + " AS silhouette, CASE WHEN " + r("pv / pe", 2) + " >= 1.6 THEN 'value engine' WHEN " + r("pv / pe", 2)
+           + " <= 0.6 THEN 'long tail' ELSE 'middle block' END || ' (c' || cluster || ')' AS segment, '' AS caveat FROM concentrated, s", "concentrated", "planted_z"))
 def named_segments(x):
-    """The verdict is that of a sweep over the planted groups."""
-    return s.findings(s.structure_verdict(_planted_sweep(x)), value_concentration(x))
+    """Labels and verdict are those of a sweep over the planted groups."""
+    rows, z = s.standardize(_planted(x), PLANTED), [f"{f}_z" for f in PLANTED]
+    sweep, models = s.sweep_models(rows, z, "entity")
+    verdict = write_once(s.structure_verdict(write_once(sweep, "sweep")), "verdict")
+    labelled = s.label_segments(rows, z, models[verdict.first()["best_k"]])
+    return s.findings(verdict, s.value_concentration(labelled, "revenue_usd_sum"))
+
+
+@query(sql("SELECT cluster, CAST(NULL AS DOUBLE) AS pct_of_value, CAST(NULL AS VARCHAR) AS segment, 'ninguna' AS structure, FALSE AS structure_found, 'no structure: segments would be invented' AS caveat FROM (SELECT CAST(NULL AS INT) AS cluster) WHERE (SELECT count(*) FROM entities) > 0", "entities"))
+def findings_without_structure(x):
+    """A sweep whose gaps are those of chance names no segment."""
+    sizes = _entities(x).groupBy((F.col("geokey") % 5 + 2).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    sweep = sizes.select("k", (F.col("n") / 1e6).alias("silhouette"), (F.col("n") / 1e9).alias("gap_vs_null"))
+    return s.findings(s.structure_verdict(sweep), value_concentration(x)).select(F.col("cluster").cast("int").alias("cluster"), "pct_of_value", "segment", "structure", "structure_found", "caveat")
 
 
 _ARI = ("WITH c AS (SELECT g AS a, h AS b, count(*) AS n FROM planted GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS c, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS a, "

@@ -1,9 +1,8 @@
 """Delimited report files: manifest, identity, layout checks, raw load, shape.
 
 Lines are read as text, so a large file is split over many tasks and each line
-keeps its physical number. A record is one line; a quoted field may hold the
-delimiter but not a line break (such a file fails the layout check and is
-rejected as a whole, never loaded in part).
+keeps its physical number. ``read_lines`` takes every line for a record; ``records.read_records`` puts records
+together whose quoted fields have line breaks. Both give the columns that all checks here read.
 """
 
 from __future__ import annotations
@@ -19,9 +18,9 @@ from ..session import write_once
 
 
 # --- manifest -----------------------------------------------------------------------
-def file_manifest(spark: SparkSession, folder: str, pattern: str = fixed.REPORT_NAME) -> DataFrame:
-    """Files whose name matches, with size and modification time. Contents are
-    not read. The reader skips empty files, which must be seen to be rejected, so
+def file_manifest(spark: SparkSession, folder: str, pattern: str = fixed.REPORT_NAME, full_path: bool = False) -> DataFrame:
+    """Files whose name matches, with size and modification time; called by name, or by ``full_path`` where
+    names repeat across folders. Contents are not read. The reader skips empty files, which must be seen to be rejected, so
     those are taken from its listing."""
     reader = spark.read.format("binaryFile").load(folder)
     files = reader.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
@@ -29,7 +28,13 @@ def file_manifest(spark: SparkSession, folder: str, pattern: str = fixed.REPORT_
     listed = {plain(p).toString() for p in reader.inputFiles()}
     empty = _empty_files(spark, listed - {r["path"] for r in files.select("path").collect()})
     name = F.element_at(F.split("path", "/"), -1)
-    return files.unionByName(empty).select(name.alias("file"), "path", "bytes", "modified").filter(F.col("file").rlike(pattern))
+    return files.unionByName(empty).filter(name.rlike(pattern)).select(
+        (one_spelling("path") if full_path else name).alias("file"), "path", "bytes", "modified")
+
+
+def one_spelling(path: str | Column) -> Column:
+    """One spelling of local paths, which readers and file metadata write with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def _empty_files(spark: SparkSession, paths: set[str]) -> DataFrame:
@@ -47,13 +52,36 @@ def quiet_files(manifest: DataFrame, as_of: str, minutes: int = fixed.QUIET_MINU
     return manifest.filter(F.col("modified") <= limit)
 
 
-def with_hash(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Add the SHA-256 of each file's content. Hash and manifest come from one
-    listing; a file is one row, so this is for files under 2 GB each."""
-    content = spark.read.format("binaryFile").load(folder).select(
-        "path", F.sha2("content", 256).alias("hash"))
+#: A node of the tree of digests has so many children; the root has what is left after LEVELS levels.
+FAN, LEVELS = 4096, 2
+
+
+def content_tree(lines: DataFrame) -> DataFrame:
+    """(file, root, lines) of numbered lines: a tree of SHA-256 digests of lines, of FAN digests each, and of those. Lines have the same numbers however a file is split, so the
+    tree is the same; a node is one small group, so no file is one row or one task. 40 bytes a line are shuffled."""
+    level = lines.select("file", F.col("line_no").alias("at"), F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("digest"))
+    joined = F.sha2(F.unhex(F.array_join(F.transform("d", lambda x: F.hex(x["digest"])), "")), 256)
+    nodes = F.sort_array(F.collect_list(F.struct("at", "digest"))).alias("d")
+    for _ in range(LEVELS):
+        level = level.groupBy("file", F.floor((F.col("at") - 1) / FAN + 1).alias("up")).agg(nodes).select("file", F.col("up").alias("at"), F.unhex(joined).alias("digest"))
+    count = lines.groupBy("file").agg(F.max("line_no").alias("lines"))
+    return level.groupBy("file").agg(nodes).select("file", joined.alias("root")).join(count, "file")
+
+
+def identity(listing: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add the identity of each file's content: the root of its tree of lines, with its size and number of lines. An empty file has the digest of nothing. ``listing`` (file, bytes, ...) and
+    ``lines`` (file, line_no, line) call files alike."""
+    tree = content_tree(lines).select(F.col("file").alias("_file"), "root", F.col("lines").alias("_lines"))
+    whole = F.sha2(F.concat_ws(":", "root", "_lines", "bytes").cast("binary"), 256)
     nothing = F.sha2(F.lit("").cast("binary"), 256)
-    return manifest.join(content, "path", "left").withColumn("hash", F.coalesce("hash", nothing))
+    return listing.join(tree, F.col("file") == F.col("_file"), "left").select(*listing.columns, F.when(F.col("root").isNull(), nothing).otherwise(whole).alias("hash"))
+
+
+def with_hash(spark: SparkSession, manifest: DataFrame, folder: str | Sequence[str]) -> DataFrame:
+    """``identity`` of the files of a manifest. Files are read in splits, so their size does not matter."""
+    listing = manifest.select(one_spelling("path").alias("file"), "bytes", "path")
+    found = identity(listing, number_lines(spark.read.text(folder), full_path=True)).select("path", "hash")
+    return manifest.join(found, "path", "left")
 
 
 def new_files(hashed: DataFrame, seen: DataFrame) -> DataFrame:
@@ -73,7 +101,7 @@ def number_lines(text: DataFrame, full_path: bool = False) -> DataFrame:
     of earlier splits of the same file. Only one small row per split is gathered."""
     path = F.col("_metadata.file_path")
     rows = text.select(
-        (path if full_path else F.element_at(F.split(path, "/"), -1)).alias("file"),
+        (one_spelling(path) if full_path else F.element_at(F.split(path, "/"), -1)).alias("file"),
         F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_seq"),
         F.regexp_replace("value", "^﻿", "").alias("line"))
     per_split = rows.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_from"))

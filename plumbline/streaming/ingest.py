@@ -1,74 +1,60 @@
 """Incremental ingest of report files with Structured Streaming.
 
-Each micro-batch holds whole new files. It is validated, ranked and turned into
-deltas; a delta folder belongs to one batch and is overwritten as a whole, so a
-batch that is retried after a failure leaves one copy. The current state is the
-fold of snapshot and deltas, and ``compact`` writes a new snapshot.
+Each micro-batch holds whole new files and is one load of ``operators.batch``: validated, ranked, audited, and committed as a whole under the name of
+the batch, so a batch that is retried after a failure leaves one copy. The same content under a second name is not
+loaded again. Readers fold what is committed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.errors import AnalysisException
 
-from ..operators import etl, rules
-from ..sources import files as fs
+from ..operators.batch import Store, load_text
 
-KEYS = {"statistics": (["email", "fecha_envio"], etl.STATISTICS_POLICY),
-        "visits": (["email", "fecha_visita"], etl.VISIT_POLICY)}
 
+def process_batch(text: DataFrame, batch_id: int, out: str, as_of: str) -> None:
+    """One micro-batch, committed once whatever happens."""
+    load_text(Store(text.sparkSession, out), text, as_of, f"batch-{batch_id}")
 
-def process_batch(text: DataFrame, batch_id: int, out: str) -> None:
-    """Validate, type, rank, audit and write the deltas of one micro-batch."""
-    lines = fs.number_lines(text, full_path=True).persist()
+
+def opened(spark: SparkSession, out: str) -> Store:
+    """The store in ``out``; an empty one if there is none."""
+    store = Store(spark, out)
     try:
-        listing = lines.select("file").distinct()
-        accepted, rejected = fs.validate_layout(listing, lines)
-        raw, off = fs.reconcile_load(fs.load_raw(lines, accepted), accepted)
-        typed = etl.type_records(raw.withColumns({"file_id": F.xxhash64("file"), "batch": F.lit(batch_id)}),
-                                 ("batch", "file_id", "line_no"))
-        ranked = etl.rank_sends(typed).persist()
-        seq = ("batch", "file_id", "line_no")
-        v01 = rejected.select("file", "reason").unionByName(off.select("file", F.lit("load mismatch").alias("reason")))
-        found = rules.incidents(ranked, ("file_id", "line_no")).unionByName(
-            v01.select(F.xxhash64("file").alias("file_id"), F.lit("V-01").alias("codigo_error"),
-                       F.lit("RECHAZO").alias("severidad"), F.col("reason").alias("valor_original")),
-            allowMissingColumns=True).withColumn("batch", F.lit(batch_id))
-        # targets first, the list of loaded files last: a crash in between is retried
-        etl.statistics(ranked, seq=seq).write.mode("overwrite").parquet(f"{out}/statistics/delta={batch_id}")
-        etl.visits(ranked, seq=seq).write.mode("overwrite").parquet(f"{out}/visits/delta={batch_id}")
-        found.write.mode("overwrite").parquet(f"{out}/incidents/delta={batch_id}")
-        raw.groupBy("file").agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{out}/files/delta={batch_id}")
-        ranked.unpersist()
-    finally:
-        lines.unpersist()
+        store.log().isEmpty()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        store.create()
+    return store
 
 
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, archive: str | None = None,
-                  pattern: str = "report_*.txt"
-                  ) -> StreamingQuery:
+                  pattern: str = "report_*.txt", as_of: str = "9999-12-31", per_batch: int | None = None) -> StreamingQuery:
     """Pick up the files that are new since the last call, then stop. Files are
-    remembered by the checkpoint; with ``archive`` they are moved once done."""
+    remembered by the checkpoint; with ``archive`` they are moved once done; at most ``per_batch`` of them are one load."""
+    opened(spark, out)
     reader = spark.readStream.option("pathGlobFilter", pattern)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
     text = reader.text(folder).select("value", "_metadata")
-    return (text.writeStream.foreachBatch(lambda df, i: process_batch(df, i, out))
+    return (text.writeStream.foreachBatch(lambda df, i: process_batch(df, i, out, as_of))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def current(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """Current rows of a target: the fold of its snapshot and deltas."""
-    keys, policy = KEYS[table]
-    deltas = spark.read.option("basePath", f"{out}/{table}").parquet(f"{out}/{table}").drop("delta")
-    return etl.upsert(None, deltas, keys, policy, ("batch", "file_id", "line_no"))
+    """Current rows of a target."""
+    return Store(spark, out).table(table)
 
 
 def visitors(spark: SparkSession, out: str, as_of: str) -> DataFrame:
-    return etl.build_visitors(current(spark, out, "visits"), as_of)
+    return Store(spark, out).visitors(as_of)
 
 
-def compact(spark: SparkSession, out: str, table: str, fresh: str) -> None:
-    """Write the folded state as the first delta of a new folder. The old folder
-    is left as it is; point readers and the stream to the new one."""
-    current(spark, out, table).write.mode("overwrite").parquet(f"{fresh}/{table}/delta=-1")
+def compact(spark: SparkSession, out: str) -> int:
+    """Fold everything committed into one snapshot."""
+    return Store(spark, out).compact()
