@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as fx
@@ -33,6 +35,19 @@ def table_copy_with_validation(x):
     return tables.copy_table(x.clean, scratch(x.spark, "copy"), "date", "revenue_usd")
 
 
+_MART = 16
+
+
+@query(sql("SELECT brand, year, count(*) AS rows, " + r("sum(revenue_usd)", 2) + " AS revenue FROM clean JOIN product USING (productkey) WHERE geokey < 5 GROUP BY ALL", "clean", "product"))
+def bucketed_mart(x):
+    """Fact and products dealt alike: the join needs no shuffle; the fact lies in Z-order of country and date, so the filter skips row groups."""
+    name = lambda n: f"mart_{n}_{uuid.uuid4().hex}"
+    near = ["geokey", F.datediff("date", F.lit("1990-01-01"))]
+    fact = tables.save_mart(x.clean.select("productkey", "geokey", "date", "year", "revenue_usd"), name("fact"), ["productkey"], _MART, scratch(x.spark, "mart"), near)
+    product = tables.save_mart(x.product.select("productkey", "brand"), name("product"), ["productkey"], _MART, scratch(x.spark, "mart"))
+    return fact.where("geokey < 5").join(product, "productkey").groupBy("brand", "year").agg(F.count(F.lit(1)).alias("rows"), fx.exact_round(F.sum("revenue_usd"), 2).alias("revenue"))
+
+
 @query(sql("SELECT CAST(load_date AS DATE) AS load_date, count(*) AS n FROM fact, (VALUES ('2024-01-01'), ('2024-01-02')) t(load_date) GROUP BY ALL", "fact"))
 def bronze_append_by_load_date(x):
     path = scratch(x.spark, "bronze")
