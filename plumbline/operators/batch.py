@@ -11,7 +11,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 from ..functions import fixed
 from ..session import write_once
@@ -52,6 +52,15 @@ class Store:
         wins = rows.where("version IS NOT NULL").groupBy("version").agg(F.min("attempt").alias("_wins"))
         return rows.join(wins, "version", "left").where("version IS NULL OR attempt = _wins").select(*rows.columns)
 
+    def _rows(self) -> list[Row]:
+        """``log`` on the driver: a row or two per load since ever."""
+        rows = self.spark.read.schema(LOG).parquet(f"{self.root}/log").collect()
+        wins: dict[int, str] = {}
+        for r in rows:
+            if r.version is not None:
+                wins[r.version] = min(r.attempt, wins.get(r.version, r.attempt))
+        return [r for r in rows if r.version is None or r.attempt == wins[r.version]]
+
     def runs(self) -> DataFrame:
         """A row per run, as far as it got."""
         done = F.max_by(F.struct(*[F.col(c) for c in self.log().columns if c not in ("id_ejecucion", "kind", "version")]), F.coalesce("version", F.lit(-1)))
@@ -62,22 +71,22 @@ class Store:
         self.spark.createDataFrame([tuple(row.get(n) for n in names)], LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
 
     def _next(self) -> tuple[int, int]:
-        r = self.log().agg(F.max("version").alias("v"), F.max("id_ejecucion").alias("run")).first()
-        return r.v + 1, (r.run or 0) + 1
+        rows = self._rows()
+        return max(r.version or 0 for r in rows) + 1, max(r.id_ejecucion or 0 for r in rows) + 1
 
     def commit(self, attempt: str, **row) -> int:
         """Appends a versioned row; an error if another writer was first."""
         version = self._next()[0]
         self._append(version=version, attempt=attempt, **row)
-        if self.log().where((F.col("version") == version) & (F.col("attempt") == attempt)).isEmpty():
+        if not any(r.version == version and r.attempt == attempt for r in self._rows()):
             raise Busy(f"version {version} was committed by another load")
         return version
 
     def parts(self, also: str | None = None) -> list[str]:
         """Folders that are visible: the last snapshot and the good loads after it. As many as there were loads since then."""
-        good = self.log().where(F.col("kind").isin("load", "snapshot") & F.col("estatus").isin(fixed.RUN_OK, fixed.RUN_WARN))
-        last = good.where("kind = 'snapshot'").agg(F.max("version")).first()[0] or 0
-        return [r.attempt for r in good.where(F.col("version") >= last).orderBy("version").select("attempt").collect()] + ([also] if also else [])
+        good = sorted((r.version, r.kind, r.attempt) for r in self._rows() if r.kind in ("load", "snapshot") and r.estatus in (fixed.RUN_OK, fixed.RUN_WARN))
+        last = max((v for v, kind, _ in good if kind == "snapshot"), default=0)
+        return [a for v, _, a in good if v >= last] + ([also] if also else [])
 
     def table(self, name: str, also: str | None = None) -> DataFrame:
         """Committed rows of a table (and those of the attempt ``also``): the fold of the parts for keyed tables, else their union."""
@@ -159,9 +168,9 @@ def load(store: Store, folder: str | Sequence[str], as_of: str, pattern: str = f
 def load_text(store: Store, text: DataFrame, as_of: str, attempt: str) -> int | None:
     """Loads the files of a text that was read with file metadata, such as a micro-batch. ``attempt`` names the load: one that is committed is not loaded
     again, and what is left of a broken one is overwritten."""
-    done = store.log().where((F.col("attempt") == attempt) & (F.col("kind") == "load") & (F.col("estatus") != fixed.RUN_FAILED)).first()
-    if done:
-        return done.id_ejecucion
+    for r in store._rows():
+        if r.attempt == attempt and r.kind == "load" and r.estatus != fixed.RUN_FAILED:
+            return r.id_ejecucion
 
     def listing() -> tuple[DataFrame, DataFrame]:
         lines = write_once(fs.number_lines(text, full_path=True), "lines")
@@ -173,9 +182,11 @@ def load_text(store: Store, text: DataFrame, as_of: str, attempt: str) -> int |
 
 def _run(store: Store, listing: Callable[[], tuple[DataFrame, DataFrame]], as_of: str, full_path: bool, attempt: str) -> int:
     began = _now()
-    open_ = store.runs().where((F.col("estatus") == fixed.RUN_OPEN) & (F.col("attempt") != attempt) & (F.col("fecha_inicio") > F.lit(began) - F.make_dt_interval(hours=F.lit(HUNG_HOURS)))).first()
-    if open_:
-        raise Busy(f"run {open_.id_ejecucion} is open since {open_.fecha_inicio}")
+    rows = store._rows()
+    closed = {r.id_ejecucion for r in rows if r.kind == "load"}
+    for r in rows:
+        if r.kind == "open" and r.id_ejecucion not in closed and r.attempt != attempt and began.timestamp() - r.fecha_inicio.timestamp() < HUNG_HOURS * 3600:
+            raise Busy(f"run {r.id_ejecucion} is open since {r.fecha_inicio}")
     run = store._next()[1]
     store._append(kind="open", attempt=attempt, id_ejecucion=run, estatus=fixed.RUN_OPEN, fecha_inicio=began)
     row: dict = dict.fromkeys(COUNTS, 0)
