@@ -86,12 +86,12 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                     fresh.append(key not in seen)
                     seen.add(key)
                 keep = np.repeat(np.array(fresh, bool), n)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), part.column("text_key").take(pa.array(np.repeat(np.arange(len(n)), n)[keep]))], names=["h", "text_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64))], names=["h"])
 
     some = keyed(docs).where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLE)) == 0).select("text_key", "text")
-    # copies in several tasks are told apart by the key of their text
-    counted = some.mapInArrow(look, "h bigint, text_key bigint").groupBy("h").agg(F.approx_count_distinct("text_key").alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
-    counted = write_once(counted.where((F.col("n") >= LEAST) & (F.col("a") < F.col("b"))).select("h", "n"), "frequent-shingles")
+    # a text repeated in several tasks counts there again, which makes its shingles come late
+    counted = some.mapInArrow(look, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    counted = write_once(counted.where(F.col("n") >= LEAST), "frequent-shingles")
     sizes, total, least = counted.groupBy("n").count().orderBy(F.desc("n")), 0, None
     for r in sizes.collect():  # a row per count; the most frequent ones that fit
         total += r["count"]
