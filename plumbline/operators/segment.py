@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark import inheritable_thread_target
@@ -138,22 +139,82 @@ def scaling_report(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 # --- silhouette --------------------------------------------------------------------------------
-def _block_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from every point of one block to every label of another."""
-    if left.empty or right.empty:
-        return pd.DataFrame({"run": [], "pid": [], "label": [], "other": [], "total": []})
-    a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-    gap = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):  # by dimension: exact, and no three-dimensional array
-        gap += np.subtract.outer(a[:, j], b[:, j]) ** 2
-    gap = np.sqrt(gap)
-    labels = np.unique(right["label"].to_numpy())
-    inside = (right["label"].to_numpy()[:, None] == labels[None, :]).astype(float)
-    sums = gap @ inside
-    n, m = sums.shape
-    return pd.DataFrame({
-        "run": np.repeat(left["run"].to_numpy(), m), "pid": np.repeat(left["pid"].to_numpy(), m),
-        "label": np.repeat(left["label"].to_numpy(), m), "other": np.tile(labels, n), "total": sums.ravel()})
+#: Blocks the points are dealt to, unless one would hold more than NUMBERS numbers (32 MB): a point moves once per block, so what moves grows with the points.
+BLOCKS, NUMBERS = 24, 1 << 22
+#: Rows and columns of distances that are held at once.
+TILE = 512, 1024
+#: Squared distances below this part of the squared lengths are computed again from differences: a product of matrices has lost their digits.
+_CLOSE = 1e-4
+_SUMS = "run string, pid string, label long, others array<bigint>, totals array<double>"
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows that belong together."""
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all of ``b``: one product of matrices, and differences where that would not be exact."""
+    odd_a, odd_b = (~(np.abs(x).max(axis=1, initial=0) < 1e150) for x in (a, b))  # missing, infinite or too large to be squared
+    centre = a[~odd_a].mean(axis=0) if not odd_a.all() else 0.0
+    p, q = (np.where(odd[:, None], 0.0, x - centre) for x, odd in ((a, odd_a), (b, odd_b)))
+    p_long, q_long = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    gap = p @ (-2.0 * q).T
+    gap += p_long[:, None]
+    gap += q_long
+    i = j = np.empty(0, int)
+    if odd_a.any() or odd_b.any() or gap.min() <= _CLOSE * (p_long.max() + q_long.max()):
+        i, j = np.nonzero((gap <= _CLOSE * (p_long[:, None] + q_long)) | odd_a[:, None] | odd_b)
+        np.maximum(gap, 0.0, out=gap)
+    np.sqrt(gap, out=gap)
+    for s in range(0, len(i), 16_384):
+        k, m = i[s:s + 16_384], j[s:s + 16_384]
+        gap[k, m] = _apart(a[k], b[m])
+    return gap
+
+
+def _block_sums(points: pa.Table) -> pa.Table:
+    """Distance sums from every point of two blocks (or of one) to every label of the other one."""
+    points = points.combine_chunks()
+    x = points["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(points.num_rows, -1)
+    label, own = points["label"].combine_chunks(), points["own"].to_numpy()
+    label = np.ma.array(label.fill_null(0).to_numpy(), mask=label.is_null().to_numpy(zero_copy_only=False))
+    one, other = points["i"][0].as_py(), points["j"][0].as_py()
+
+    def side(block: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows of a block by label, those without one last; its labels, and how many rows have one."""
+        rows = np.flatnonzero(own == block)
+        rows = rows[np.lexsort((label.data[rows], label.mask[rows]))]
+        named = label.data[rows[~label.mask[rows]]]
+        return rows, np.unique(named), len(named)
+
+    def labelled(rows: np.ndarray, totals: np.ndarray, labels: np.ndarray) -> pa.Table:
+        n, m = len(rows), len(labels)
+        others = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(np.tile(labels, n)))
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(totals.ravel()))
+        return points.select(["run", "pid", "label"]).take(pa.array(rows)).append_column("others", others).append_column("totals", sums)
+
+    (a, a_labels, a_named), (b, b_labels, b_named) = side(one), side(other)
+    to_b, to_a = np.zeros((len(a), len(b_labels))), np.zeros((len(b), len(a_labels)))
+    a_code, b_code = np.searchsorted(a_labels, label.data[a[:a_named]]), np.searchsorted(b_labels, label.data[b[:b_named]])
+    for r in range(0, len(a), TILE[0]):
+        for c in range(0, len(b), TILE[1]):
+            gap = _gaps(x[a[r:r + TILE[0]]], x[b[c:c + TILE[1]]])
+            codes = b_code[c:c + TILE[1]]
+            if len(codes):
+                edge = np.flatnonzero(np.diff(codes, prepend=-1))
+                to_b[r:r + TILE[0], codes[edge]] += np.add.reduceat(gap[:, :len(codes)], edge, axis=1)
+            codes = a_code[r:r + TILE[0]]
+            if one != other and len(codes):
+                edge = np.flatnonzero(np.diff(codes, prepend=-1))
+                to_a[c:c + TILE[1], codes[edge]] += np.stack([gap[s:e].sum(axis=0) for s, e in zip(edge, [*edge[1:], len(codes)])], axis=1)
+    found = labelled(a, to_b, b_labels)
+    return found if one == other else pa.concat_tables([found, labelled(b, to_a, a_labels)])
+
+
+def _blocks(rows: int, dims: int, block: int) -> int:
+    """Into how many blocks points are dealt."""
+    return max(1, min(-(-rows // block), BLOCKS), -(-rows * dims // NUMBERS))
 
 
 def silhouette_points(df: DataFrame, features: Sequence[str], label: str, key: str, run: str | None = None,
@@ -161,9 +222,9 @@ def silhouette_points(df: DataFrame, features: Sequence[str], label: str, key: s
     """Exact Euclidean silhouette of every row, for one labelling or for several
     runs at once.
 
-    Points are dealt into blocks of about ``block`` by the hash of their key, and
-    every pair of blocks is one task that returns only distance sums per point
-    and label. Memory per task is fixed, no pair of points is ever a row, and
+    Points are dealt by the hash of their key into blocks of at least about ``block``, at most BLOCKS of them as long as
+    a block fits a task, and every pair of blocks is one task that returns only distance sums per point
+    and label, for both sides. Memory per task is bounded, no pair of points is ever a row, and
     nothing is sampled.
     """
     x = F.array(*[F.col(f).cast("double") for f in features])
@@ -171,15 +232,16 @@ def silhouette_points(df: DataFrame, features: Sequence[str], label: str, key: s
                        F.col(key).cast("string").alias("pid"), F.col(label).cast("long").alias("label"), x.alias("x"))
     if largest is None:  # rows of the largest run
         largest = points.groupBy("run").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-largest // block))
+    blocks = _blocks(largest, len(features), block)
     dealt = points.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumn("i", F.col("own")).withColumn("j", every)
-    right = dealt.withColumn("j", F.col("own")).withColumn("i", every)
-    right = right.select([F.col(c).alias(c) for c in right.columns])  # own column ids for the second use
+    dealt = dealt.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("run", "pid", "label", "x", "own", F.least("own", "_k").alias("i"), F.greatest("own", "_k").alias("j"))
     keys = ["run", "i", "j"]
-    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        lambda a, b: _block_sums(a, b), "run string, pid string, label long, other long, total double")
+    if blocks > 1:  # pairs of blocks are few and long, so none waits for another
+        dealt = dealt.repartition(blocks * (blocks + 1) // 2, *keys)
+    # what is said of one point meets as arrays
+    sums = dealt.groupBy(*keys).applyInArrow(_block_sums, _SUMS).repartition("run", "pid")
+    sums = sums.select("run", "pid", "label", F.explode(F.arrays_zip("others", "totals")).alias("s")).select("run", "pid", "label", F.col("s.others").alias("other"), F.col("s.totals").alias("total"))
     sizes = points.groupBy("run", F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("size"))
     to_label = sums.groupBy("run", "pid", "label", "other").agg(F.sum("total").alias("total")).join(sizes, ["run", "other"])
     own = F.col("other") == F.col("label")
