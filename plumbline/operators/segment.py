@@ -188,18 +188,23 @@ def _block_sums(points: pa.Table) -> pa.Table:
         named = label.data[rows[~label.mask[rows]]]
         return rows, np.unique(named), len(named)
 
-    def labelled(rows: np.ndarray, totals: np.ndarray, labels: np.ndarray) -> pa.Table:
+    def labelled(rows: np.ndarray, totals: np.ndarray, labels: np.ndarray, unknown: np.ndarray) -> pa.Table:
         n, m = len(rows), len(labels)
         others = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(np.tile(labels, n)))
-        sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(totals.ravel()))
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(totals.ravel(), mask=np.repeat(unknown, m)))
         return points.select(["run", "pid", "label"]).take(pa.array(rows)).append_column("others", others).append_column("totals", sums)
 
     (a, a_labels, a_named), (b, b_labels, b_named) = side(one), side(other)
     to_b, to_a = np.zeros((len(a), len(b_labels))), np.zeros((len(b), len(a_labels)))
     a_code, b_code = np.searchsorted(a_labels, label.data[a[:a_named]]), np.searchsorted(b_labels, label.data[b[:b_named]])
+    # a point with a distance that is no number has no sums over that block
+    odd, unknown_a, unknown_b = not (np.abs(x) < 1e150).all(), np.zeros(len(a), bool), np.zeros(len(b), bool)
     for r in range(0, len(a), TILE[0]):
         for c in range(0, len(b), TILE[1]):
             gap = _gaps(x[a[r:r + TILE[0]]], x[b[c:c + TILE[1]]])
+            if odd:
+                unknown_a[r:r + TILE[0]] |= ~np.isfinite(gap).all(axis=1)
+                unknown_b[c:c + TILE[1]] |= ~np.isfinite(gap).all(axis=0)
             codes = b_code[c:c + TILE[1]]
             if len(codes):
                 edge = np.flatnonzero(np.diff(codes, prepend=-1))
@@ -208,8 +213,8 @@ def _block_sums(points: pa.Table) -> pa.Table:
             if one != other and len(codes):
                 edge = np.flatnonzero(np.diff(codes, prepend=-1))
                 to_a[c:c + TILE[1], codes[edge]] += np.stack([gap[s:e].sum(axis=0) for s, e in zip(edge, [*edge[1:], len(codes)])], axis=1)
-    found = labelled(a, to_b, b_labels)
-    return found if one == other else pa.concat_tables([found, labelled(b, to_a, a_labels)])
+    found = labelled(a, to_b, b_labels, unknown_a)
+    return found if one == other else pa.concat_tables([found, labelled(b, to_a, a_labels, unknown_b)])
 
 
 def _blocks(rows: int, dims: int, block: int) -> int:
