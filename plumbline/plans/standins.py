@@ -37,7 +37,8 @@ class World:
         li, o, c = self.table("lineitem"), self.table("orders"), self.table("customer")
         price, disc = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
         cost = (F.lit(0.30) + (F.col("l_partkey") % 50) * 0.01).cast("decimal(4,2)")
-        rows = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select(
+        # orders meet their customers first: the many lines then move once
+        rows = li.join(o.join(c, o.o_custkey == c.c_custkey), li.l_orderkey == o.o_orderkey).select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transactionid"), F.to_date("o_orderdate").alias("date"),
             F.col("l_partkey").alias("productkey"), F.col("c_nationkey").alias("geokey"),
             F.left("o_orderpriority", F.lit(1)).cast("int").alias("channelkey"),
