@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -50,11 +52,13 @@ def rank_best(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
         df.filter(ok).select(*keys, F.lit(-1).alias("_ok"), *[(F.col(c) if isinstance(c, str) else c).alias(n)
                                                               for n, c in zip(names, coarse)])
         .groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*piece, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+        .select(*piece, F.sum("_n").over(upto).alias("_before"))
+        .filter("_before IS NOT NULL")  # the first piece of a key begins at 1 and is not looked up
     )
+    known = reduce(and_, [F.col(c).isNotNull() for c in piece])  # a row whose key is missing has no rank
     # same keys as the window, so the rows are not shuffled again for the join
     return inside.join(offsets, piece, "left").select(
-        *df.columns, F.when(F.col("_ok") < 0, F.col("_in") + F.col("_before")).cast("int").alias(name))
+        *df.columns, F.when((F.col("_ok") < 0) & known, F.col("_in") + F.coalesce("_before", F.lit(0))).cast("int").alias(name))
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import functions as fx
 from ..functions import fixed
@@ -54,10 +54,8 @@ _BATCH = (
       "LATERAL (VALUES ('visits', a), ('clicks of visits', b)) t(w, v)")
 
 
-def _inbox(x) -> str:
-    """All campaign records as report files in two folders: every seventh file without its last column, every seventh with a renamed one, some records over two lines; the second
-    folder has copies of some files of the first, too."""
-    root = scratch(x.spark, "inbox")
+def _lines(x) -> DataFrame:
+    """(box, file, line_no, value): the lines of ``_inbox``. A line of a file that has a copy is made once."""
     fid, line = F.col("file_id"), F.col("line_no")
     clean = {c: F.regexp_replace(F.coalesce(c, F.lit("")), "[\r\n]", "") for c in fixed.RAW_COLUMNS}
     rows = x.raw.select("file_id", "line_no", *[v.alias(c) for c, v in clean.items()])
@@ -68,10 +66,17 @@ def _inbox(x) -> str:
     heads = [h for _, h in fixed.LAYOUT]
     head = F.when(fid % 7 == 3, ",".join(heads[:-1])).when(fid % 7 == 5, ",".join([*heads[:3], "Unknown", *heads[4:]])).otherwise(",".join(heads))
     lines = lines.unionByName(rows.select("file_id", "chunk").distinct().select("file_id", "chunk", F.lit(-1).cast("long").alias("line_no"), head.alias("value")))
-    name = lambda kind: F.format_string(f"{kind}%014d-%08d", "file_id", "chunk").alias("file")
-    first = lines.select((fid % 2).alias("box"), name("a"), "line_no", "value")
-    twins = lines.where((fid % 2 == 0) & (fid % 7 == 1)).select(F.lit(1).alias("box"), name("b"), "line_no", "value")
-    dealt = first.union(twins).repartition("box", "file").sortWithinPartitions("box", "file", "line_no")
+    place = lambda box, kind: F.struct(box.cast("long").alias("box"), F.format_string(f"{kind}%014d-%08d", "file_id", "chunk").alias("file"))
+    first = place(fid % 2, "a")
+    places = F.when((fid % 2 == 0) & (fid % 7 == 1), F.array(first, place(F.lit(1), "b"))).otherwise(F.array(first))
+    return lines.select(F.explode(places).alias("_p"), "line_no", "value").select("_p.box", "_p.file", "line_no", "value")
+
+
+def _inbox(x) -> str:
+    """All campaign records as report files in two folders: every seventh file without its last column, every seventh with a renamed one, some records over two lines; the second
+    folder has copies of some files of the first, too."""
+    root = scratch(x.spark, "inbox")
+    dealt = _lines(x).repartition("box", "file").sortWithinPartitions("box", "file", "line_no")
     dealt.select("box", "file", "value").write.partitionBy("box", "file").option("lineSep", "\r\n").text(root)
     return root
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import exact_round, fixed
 from ..operators import etl, model, monitor, rules
-from ..session import write_once
+from ..session import keep_methods_small, write_once
 
 
 def pick(col: Column, options: dict, default=None) -> Column:
@@ -27,6 +27,7 @@ def pick(col: Column, options: dict, default=None) -> Column:
 class World:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        keep_methods_small(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
