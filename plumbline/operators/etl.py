@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import blank_to_null, email_ok, fixed, guarded_int, is_count, parse_any, rebuild_record
 from .windows import rank_best
@@ -39,6 +39,17 @@ def type_records(raw: DataFrame, lineage: Sequence[str] = ("file_id", "line_no")
     )
 
 
+def takes_part() -> Column:
+    """Does a record take part in the ranking? Each send among those that do keeps one."""
+    return F.col("email_ok") & F.col("fecha_envio").isNotNull()
+
+
+def sends(work: DataFrame) -> DataFrame:
+    """(email, fecha_envio) of every send that has a row in the target, once. The row a send keeps need not be known for
+    that, so nothing is ranked."""
+    return work.filter(takes_part()).select("email", "fecha_envio").distinct()
+
+
 def rank_sends(work: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
     """Rank rows of the same send: most opens, most clicks, last line. Only rows
     with a good address and a send date take part. File and then line make the
@@ -46,7 +57,7 @@ def rank_sends(work: DataFrame, batch: Sequence[str] = ()) -> DataFrame:
     down = [F.desc(c) for c in ("opens", "clicks", "line_no", "file_id")]
     coarse = [-F.col("opens"), -F.col("clicks"), -F.floor(F.col("line_no") / 1_000_000)]
     return rank_best(work, [*batch, "email", "fecha_envio"], down,
-                     F.col("email_ok") & F.col("fecha_envio").isNotNull(), coarse,
+                     takes_part(), coarse,
                      spread=["file_id", "line_no"])
 
 
@@ -94,15 +105,17 @@ def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str], poli
     return merged.select(*keys, *[F.col(where.get(c, c)).alias(c) for c in policy], "_first", "_last", *known.values())
 
 
-def statistics(ranked: DataFrame, target: DataFrame | None = None, seq=("file_id", "line_no"), **kw) -> DataFrame:
-    """Send-level target, from the kept row of every send."""
-    return upsert(target, ranked.filter("rn = 1"), ["email", "fecha_envio"], STATISTICS_POLICY, seq, **kw)
+def statistics(ranked: DataFrame, target: DataFrame | None = None, seq=("file_id", "line_no"), columns: Sequence[str] = tuple(STATISTICS_POLICY),
+               **kw) -> DataFrame:
+    """Send-level target, from the kept row of every send; with only some of its ``columns`` where a reader needs no more."""
+    return upsert(target, ranked.filter("rn = 1"), ["email", "fecha_envio"], {c: STATISTICS_POLICY[c] for c in columns}, seq, **kw)
 
 
 def visits(ranked: DataFrame, target: DataFrame | None = None, seq=("file_id", "line_no")) -> DataFrame:
     """Click-level target. Its grain is the click instant, so rows that lost the
-    ranking of their send still count here."""
-    rows = ranked.filter("rn IS NOT NULL AND clicks > 0 AND fecha_click IS NOT NULL").withColumn(
+    ranking of their send still count here; rows that are not ranked yet do as well."""
+    part = F.col("rn").isNotNull() if "rn" in ranked.columns else takes_part()
+    rows = ranked.filter(part).filter("clicks > 0 AND fecha_click IS NOT NULL").withColumn(
         "fecha_visita", F.col("fecha_click"))
     return upsert(target, rows, ["email", "fecha_visita"], VISIT_POLICY, seq)
 

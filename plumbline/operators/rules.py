@@ -42,7 +42,7 @@ def apply_rules(df: DataFrame, rules: Iterable[Rule], carry: Sequence[str]) -> D
 
 
 def v_rules() -> list[Rule]:
-    """Load-time validation of records."""
+    """Load-time validation of records. Rejections do not look at the rank."""
     c, kept = F.col, F.col("rn") == 1
     def text(name: str) -> Column:
         return F.coalesce(c(name), F.lit(""))
@@ -67,6 +67,11 @@ def record_incidents(ranked: DataFrame, lineage: Sequence[str] = ("file_id", "li
     return apply_rules(ranked, v_rules(), [*lineage, "registro_completo"])
 
 
+def rejections(work: DataFrame, lineage: Sequence[str] = ("file_id", "line_no")) -> DataFrame:
+    """The incidents that keep a record out. No rank decides them, so ``work`` need not be ranked."""
+    return apply_rules(work, [r for r in v_rules() if r.severity == fixed.REJECT], [*lineage, "registro_completo"])
+
+
 def file_incidents(ranked: DataFrame, by: Sequence[str] = ("file_id",)) -> DataFrame:
     """V-09: columns that arrived empty in every record of a file."""
     return empty_columns(ranked, fixed.EMPTY_CHECKED, by).select(

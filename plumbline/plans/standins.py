@@ -197,9 +197,24 @@ class World:
     @cached_property
     def loaded(self) -> DataFrame:
         """Ranked rows of the runs that did not fail."""
-        return self.ranked.filter("id_ejecucion % 11 <> 0")
+        return self.ranked.filter(self.DONE)
+
+    # A query that reads a layer once, or a few of its columns, takes it from the records instead of the work table: what it does not need is
+    # then neither made nor moved nor written.
+    DONE = "id_ejecucion % 11 <> 0"
+
+    @cached_property
+    def loaded_records(self) -> DataFrame:
+        """``loaded`` before it is ranked."""
+        return self.work.filter(self.DONE)
+
+    @cached_property
+    def sends(self) -> DataFrame:
+        """The keys of ``stats``."""
+        return etl.sends(self.loaded_records)
 
     SEQ = ("id_ejecucion", "file_id", "line_no")
+    AS_OF = "2024-01-20"
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -211,15 +226,19 @@ class World:
 
     @cached_property
     def visitors(self) -> DataFrame:
-        return etl.build_visitors(self.visits, "2024-01-20")
+        return etl.build_visitors(self.visits, self.AS_OF)
 
     @cached_property
     def files(self) -> DataFrame:
+        return self.files_of(self.ranked)
+
+    def files_of(self, rows: DataFrame) -> DataFrame:
+        """The files of the work table, or of its rows before they are ranked."""
         name = F.concat(F.lit("report_"), F.col("file_id"), F.lit(".txt"))
         fid = F.col("file_id")
         status = (F.when(fid % 13 == 0, fixed.FILE_REJECTED).when(fid % 17 == 0, "CARGADO")
                   .when(fid % 19 == 0, "RESPALDADO").otherwise(fixed.FILE_DONE))
-        return self.ranked.groupBy("id_ejecucion", "file_id").agg(
+        return rows.groupBy("id_ejecucion", "file_id").agg(
             F.count(F.lit(1)).alias("registros_leidos"), F.sum(F.length("registro_completo")).alias("bytes")
         ).select("id_ejecucion", "file_id", name.alias("nombre_archivo"), F.sha2(name, 256).alias("hash_archivo"), "bytes",
                  "registros_leidos", status.alias("estatus"),
