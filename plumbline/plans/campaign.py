@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as fx
 from ..functions import fixed
 from ..operators import etl, profile, quality as q, rules
-from ..session import scratch
+from ..session import scratch, write_once
 from .oracle import CTES, r, sql
 from .registry import query
 
@@ -146,7 +146,9 @@ _REP = [("029", "WARNING", "e.n > 1"), ("030", "WARNING", "s.n > 1"), ("031", "W
     f"SELECT 'BR-{c}' AS codigo_error, '{s}' AS severidad, line_no FROM work w LEFT JOIN per_email e USING (email) LEFT JOIN per_send s USING (email, fecha_envio) "
     f"LEFT JOIN per_record r USING (registro_completo) WHERE {cond}" for c, s, cond in _REP) + ") GROUP BY 1, 2", "per_email", "per_send", "per_record"))
 def business_rules_of_repetition(x):
-    found = rules.apply_rules(rules.with_repetition(x.ranked), rules.br_repetition_rules(), ["file_id", "line_no"])
+    # no rank is needed, and of the records only what repeats; read several times, so written
+    records = write_once(x.work.select("file_id", "line_no", "email", "fecha_envio", *rules.INTERACTION, "registro_completo"), "records")
+    found = rules.apply_rules(rules.with_repetition(records), rules.br_repetition_rules(), ["file_id", "line_no"])
     return found.groupBy("codigo_error", "severidad").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("lines"))
 
 
