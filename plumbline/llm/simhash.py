@@ -26,7 +26,7 @@ SEED, SHINGLE, RADIUS = 42, 4, 4
 #: About so many values meet in a slot; so many are made at a time.
 SLOT_VALUES, VALUES = 4_000_000, 1_000_000
 #: Shingles whose bits are counted at a time.
-COUNTED = 1 << 18
+COUNTED = 1 << 15
 
 
 def shingle_hashes(found: Words, k: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +185,11 @@ def one_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of each group in ``found`` (doc_id, text_key, root, component_id)."""
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root") \
         .agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
-    keep = write_once(keep.select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_key")), "kept")
-    rows = docs.withColumn("_near_key", text_key())
-    chosen = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_near_id"]) & (rows["_near_key"] == keep["_near_key"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_near_key"]).drop("_near_key")
+    # plain columns without nulls are the key of both steps, so texts are shuffled once
+    key = lambda c: {"_near_id": F.coalesce(F.col(c).cast("bigint"), F.lit(0)), "_near_null": F.col(c).isNull()}
+    keep = write_once(keep.select(*[v.alias(k) for k, v in key("doc_id").items()], F.col("text_key").alias("_near_key")), "kept")
+    rows = docs.withColumns(key("doc_id") | {"_near_key": text_key()})
+    return rows.join(keep, keep.columns, "left_semi").dropDuplicates(keep.columns).drop(*keep.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

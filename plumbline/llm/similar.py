@@ -5,7 +5,8 @@ shingles, two similar texts share a shingle among the first fifth of the larger
 the overlap. No pair is lost, whatever the order is. The order decides only how many others meet: frequent shingles come last, so texts
 that have passages in common, or are of one family but below 0.8, meet in few. What is frequent is read off a sample.
 
-Before two texts are compared, their bitmaps are: these tell most pairs apart that share a passage only, and never one that is similar.
+Before two texts are compared, their bitmaps are: these tell most pairs apart that share a passage only, and never one that is similar. A bitmap grows with its
+text; one of a fixed size is full for a long text and tells nothing apart, and sets of long texts are most of what is moved.
 
 Pairs in one group already are not compared: members of a file are first compared with one of them, in a few rounds, and groups joined; then
 all pairs that are left are.
@@ -29,8 +30,9 @@ SHINGLE = 5
 #: Of one text in so many, shingles that stand in at least LEAST of these texts count as frequent; at most FREQUENT of them, the most
 #: frequent ones, are sent to the tasks (8 MB). They change the order, not the result.
 SAMPLE, LEAST, FREQUENT = 16, 3, 1_000_000
-#: Bits of the bitmap of a text: every shingle toggles one, so two texts differ in at least as many shingles as bits.
-BITS = 1024
+#: Bits of a block of the bitmap of a text: every shingle toggles one, so two texts differ in at least as many shingles as bits. A bitmap has a bit or more for each
+#: shingle, in at most BLOCKS blocks (128 KB); longer texts are told apart less well by it, and compared all the same.
+BITS, BLOCKS = 1024, 1024
 #: Before all pairs of a file are compared, members are compared with one of them, in so many rounds at most.
 STARS = 2
 #: About so many entries to a task of the join.
@@ -65,11 +67,24 @@ def distinct_shingles(h: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tup
     return h[new], np.bincount(text[new], minlength=len(n))
 
 
-def bitmaps(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts, BITS / 64): the bitmaps of the different shingles of every text."""
-    at = np.repeat(np.arange(len(n)), n) * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(at, minlength=len(n) * BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), BITS // 64)
+def blocks_of(n: np.ndarray) -> np.ndarray:
+    """How many blocks the bitmap of a text of n different shingles has: a power of two."""
+    blocks = np.ones(len(n), np.int64)
+    while (short := (blocks * BITS < n) & (blocks < BLOCKS)).any():
+        blocks[short] *= 2
+    return blocks
+
+
+def bitmaps(h: np.ndarray, n: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+    """The bitmaps of the different shingles of every text: (texts, BITS / 64) of one block each, or all words in a row of as many blocks as given. The second half of a bitmap
+    XORed on the first is the bitmap of half as many blocks."""
+    width = np.ones(len(n), np.int64) if blocks is None else blocks
+    top = 64 - BITS.bit_length() + 1
+    block = (h >> np.uint64(top - BLOCKS.bit_length() + 1)).astype(np.int64) & np.repeat(width - 1, n)
+    at = (np.repeat(np.cumsum(width) - width, n) + block) * BITS + (h >> np.uint64(top)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(width.sum()) * BITS) & 1
+    words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return words.reshape(len(n), BITS // 64) if blocks is None else words
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -105,7 +120,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 def marked(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(doc_id, text_key, fingerprint, n, prefix, bits) for every row: how many different shingles, the first fifth of them (binary; empty where the task had the same text before, or
-    there is none) and their bitmap. One read of the texts for fingerprints, prefixes and bitmaps."""
+    there is none) and their bitmap (empty where the prefix is). One read of the texts for fingerprints, prefixes and bitmaps."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -117,11 +132,15 @@ def marked(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 for key in part.column("text_key").to_pylist():
                     fresh.append(key not in seen)
                     seen.add(key)
-                first = np.where(np.array(fresh, bool) & (n > 0), n // 5 + 1, 0)
+                told = np.array(fresh, bool) & (n > 0)
+                first = np.where(told, n // 5 + 1, 0)
                 keep = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(first, n)
                 edges = np.concatenate(([0], np.cumsum(first) * 8)).astype(np.int32)
                 lists = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(h[keep].tobytes())])
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bitmaps(h, n).ravel()))
+                blocks = blocks_of(n[told])
+                words = np.zeros(len(n), np.int64)
+                words[told] = blocks * (BITS // 64)
+                bits = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(words)).astype(np.int32)), pa.array(bitmaps(h[np.repeat(told, n)], n[told], blocks)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fingerprints_of(part.column("text"), found)), pa.array(n.astype(np.int32)), lists, bits],
                                                  names=["doc_id", "text_key", "fingerprint", "n", "prefix", "bits"])
 
@@ -184,10 +203,14 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def alike(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """The pairs (x, y, nx, ny, a, b) whose bitmaps differ in no more bits than texts of a similarity of 4/5 may in shingles."""
+    """The pairs (x, y, nx, ny, a, b) whose bitmaps differ in no more bits than texts of a similarity of 4/5 may in shingles. One text may have up to 5/4 of the other's
+    shingles, so one bitmap may be twice as long as the other; it is folded then."""
     side = lambda x: bits.select(F.col("text_key").alias(x), F.col("bits").alias(f"b{x}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    differ = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    half = F.least(F.size("bx"), F.size("by"))
+    xor = lambda p, q: p.bitwiseXOR(q)
+    folded = lambda c: F.when(F.size(c) > half, F.zip_with(F.slice(c, 1, half), F.slice(c, half + 1, half), xor)).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(folded("bx"), folded("by"), lambda p, q: F.bit_count(xor(p, q))), F.lit(0), lambda s, n: s + n)
     return both.where(differ * 9 <= F.col("nx") + F.col("ny")).select("x", "y", "a", "b")
 
 

@@ -5,11 +5,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from llm.common import ODD, frame, groups, prose
 from plumbline.llm import components, decontaminate, similar, simhash, vectors
-from plumbline.llm.common import words
+from plumbline.llm.common import keyed, words
 
 
 def fingerprint(text):
@@ -128,6 +128,55 @@ def test_bitmaps_never_part_similar_texts():
             assert differ <= len(set(x.tolist()) ^ set(y.tolist())) and (n != 500 or differ > 40)
 
 
+def test_bitmaps_grow_with_their_texts():
+    rng = np.random.default_rng(4)
+    n = np.array([1500, 0, 700, 2100, 1, 2000])
+    h = rng.integers(0, 1 << 63, n.sum(), dtype=np.uint64) * np.uint64(2)
+    blocks = similar.blocks_of(n)
+    assert blocks.tolist() == [2, 1, 1, 4, 1, 2] and similar.blocks_of(np.array([10**9])).tolist() == [similar.BLOCKS]
+    words, one, at = similar.bitmaps(h, n, blocks), similar.bitmaps(h, n), 0
+    for i, size in enumerate(blocks * similar.BITS // 64):
+        folded = words[at:at + size]
+        at += size
+        while len(folded) > similar.BITS // 64:
+            folded = folded[:len(folded) // 2] ^ folded[len(folded) // 2:]
+        assert folded.tolist() == one[i].tolist()
+    assert at == len(words)
+
+
+def test_bitmaps_tell_long_texts_apart(spark):
+    """A bitmap of fixed size was full for these, so all pairs were compared by their shingles."""
+    base = prose(70, 4200).split()
+    texts = [base, base[:3900], base[:3100] + prose(71, 1000).split(), base[:2000] + prose(72, 2000).split(), prose(73, 4000).split(), prose(74, 4300).split(), prose(75, 3000).split()]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    marked = similar.marked(frame(spark, rows), np.empty(0, np.uint64)).cache()
+    side = lambda x, i: marked.select(F.col("text_key").alias(x), F.col("n").alias(f"n{x}"), F.col("doc_id").alias(i))
+    pairs = side("x", "a").crossJoin(side("y", "b")).where("a < b and least(nx, ny) * 5 >= greatest(nx, ny) * 4")
+    met = {(r.a, r.b) for r in pairs.collect()}
+    s = [shingles(t) for _, t in rows]
+    want = {(i, j) for i, j in met if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])}
+    assert {(0, 1)} <= want < met and len(met) > 10
+    assert {(r.a, r.b) for r in similar.alike(pairs, marked.select("text_key", "bits")).collect()} == want
+    marked.unpersist()
+
+
+def test_texts_are_shuffled_once_for_the_row_that_stays(spark, capsys):
+    rows = [(None, "same"), (None, "same"), (0, "same"), (0, "same"), (None, None), (3, None), (3, None), (4, "other"), (4, "another")]
+    df = frame(spark, rows)
+    found = keyed(df).withColumns({"root": F.xxhash64("text_key"), "component_id": F.min("doc_id").over(Window.partitionBy("text_key"))})
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.one_of_groups(df, found)
+        kept.explain()
+        assert capsys.readouterr().out.count("Exchange") == 2
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(0, "same"), (3, ""), (4, "another"), (4, "other")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    alone = frame(spark, [(None, "x"), (None, "x")])
+    assert [r.doc_id for r in simhash.one_of_each(alone).collect()] == [None]
+
+
 @pytest.mark.parametrize("share", [0.5, 0.85])
 def test_families_meet_only_if_they_are_similar(spark, share, monkeypatch):
     """Texts of one template: below the least similarity they are not compared, above it they are one group."""
